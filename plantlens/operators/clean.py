@@ -47,8 +47,8 @@ class Fences:
         lo, hi = self.bounds[column]
         return (F.col(column) < lo) | (F.col(column) > hi)
 
-    def report(self, df: DataFrame) -> DataFrame:
-        """Capped columns with their counts and fences, in one pass over ``df``."""
+    def report(self, df: DataFrame, digits: int = 4) -> DataFrame:
+        """Capped columns with their counts and rounded fences, in one pass over ``df``."""
         if not self.bounds:
             return df.sparkSession.createDataFrame([], REPORT_SCHEMA)
         counts = df.agg(*[F.count_if(self.outside(c)).alias(c) for c in self.bounds])
@@ -56,8 +56,8 @@ class Fences:
             F.struct(
                 F.lit(c).alias("column"),
                 F.col(c).alias("n_capped"),
-                display_round(F.lit(lo)).alias("lower_fence"),
-                display_round(F.lit(hi)).alias("upper_fence"),
+                display_round(F.lit(lo), digits).alias("lower_fence"),
+                display_round(F.lit(hi), digits).alias("upper_fence"),
             )
             for c, (lo, hi) in self.bounds.items()
         ]
