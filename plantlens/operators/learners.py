@@ -38,7 +38,7 @@ MAX_ITERATIONS = 500
 
 @dataclass(frozen=True)
 class FitFacts:
-    """What a learner's settings may depend on."""
+    """What a learner's settings may depend on (``label_std`` is the population deviation)."""
 
     rows: int
     label_std: float
@@ -68,12 +68,12 @@ def _forest(kind):
 
 
 def _ridge(p: dict, facts: FitFacts) -> Estimator:
-    """Closed-form ridge with penalty ``alpha``: Spark divides the loss by n and scales by the label's deviation."""
+    """Closed-form ridge with penalty ``alpha`` in one pass: Spark's loss is divided by n and by the label's deviation."""
     return LinearRegression(
         regParam=p["alpha"] * facts.label_std / facts.rows,
         elasticNetParam=0.0,
         standardization=False,
-        solver="l-bfgs",
+        solver="normal",
         labelCol="label",
     )
 

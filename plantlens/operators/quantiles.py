@@ -15,9 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.session import settle
+from plantlens.session import estimated_bytes, settle
 
 EXACT_ROWS = 1_000_000
+# Input size up to which the built-in exact percentile, which holds all distinct values, is used.
+ONE_PASS_BYTES = 32 * 1024 * 1024
 CELLS_PER_E_FOLD = 256
 CUTS = 4096
 
@@ -122,8 +124,16 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     exact_rows: int = EXACT_ROWS,
+    one_pass_bytes: int = ONE_PASS_BYTES,
 ) -> DataFrame:
-    """Linearly interpolated quantiles: one row ``by..., column, n, q`` with ``q`` in ``probs`` order."""
+    """Linearly interpolated quantiles: one row ``by..., column, n, q`` with ``q`` in ``probs`` order.
+
+    Tables whose estimated size is small take one aggregate, all others the counting passes;
+    the figures are the same.
+    """
+    size = estimated_bytes(df.select(*by, *columns))
+    if size is not None and size <= one_pass_bytes:
+        return _one_pass(df, columns, probs, by)
     rules: list[RankRule] = []
     for p in probs:
         rules.append(lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1)))
@@ -139,10 +149,24 @@ def quantiles(
     return picked.select(*by, "column", "n", F.array(*out).alias("q"))
 
 
+def _one_pass(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    figures, cells = [], []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        x = F.when(~F.isnan(x), x)
+        figures += [F.count(x).alias(f"n{i}__"), F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}__")]
+        cells.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}__").alias("n"), F.col(f"q{i}__").alias("q")))
+    return df.groupBy(*by).agg(*figures).select(*by, F.inline(F.array(*cells))).where("n > 0")
+
+
 def quantile_values(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact_rows: int = EXACT_ROWS
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    exact_rows: int = EXACT_ROWS,
+    one_pass_bytes: int = ONE_PASS_BYTES,
 ) -> dict[str, list[float]]:
     """Quantiles of whole columns as plain numbers (as many rows as columns reach the driver)."""
     if not columns:
         return {}
-    return {r["column"]: list(r["q"]) for r in quantiles(df, columns, probs, (), exact_rows).collect()}
+    return {r["column"]: list(r["q"]) for r in quantiles(df, columns, probs, (), exact_rows, one_pass_bytes).collect()}

@@ -30,6 +30,9 @@ from plantlens.sources.schemas import numeric_columns
 # Fixed value: candidates trained side by side.
 PARALLEL = 4
 
+# Rows a training task should at least have; iterative learners run one job per iteration.
+ROWS_PER_TASK = 25_000
+
 
 @dataclass
 class Trained:
@@ -89,13 +92,14 @@ def cross_validate(
     regression = labels is None
     folded = cut(_labelled(assign_folds(train, key, folds, [] if regression else [target]), target, labels))
     excluded = [target, key, "fold", "label"]
+    tasks = -(-folded.count() // ROWS_PER_TASK) or 1
     combos = {c.name: sample_grid(c.grid, draws) for c in candidates}
     scores: dict[str, list[list[float]]] = {c.name: [[] for _ in combos[c.name]] for c in candidates}
     failed: dict[str, str] = {}
     for fold in range(folds):
         part = folded.where(F.col("fold") != fold)
         prep = Pipeline(stages=preparation(excluded)).fit(part)
-        fit_on = prep.transform(part).select("label", "features").persist()
+        fit_on = prep.transform(part).select("label", "features").coalesce(tasks).persist()
         check_on = prep.transform(folded.where(F.col("fold") == fold)).select("label", "features").persist()
         facts = _facts(fit_on, len(labels or []))
 
@@ -121,7 +125,7 @@ def cross_validate(
 
 
 def _facts(prepared: DataFrame, n_classes: int) -> FitFacts:
-    row = prepared.agg(F.count("*"), F.stddev_samp("label")).first()
+    row = prepared.agg(F.count("*"), F.stddev_pop("label")).first()
     return FitFacts(int(row[0]), float(row[1] or 0.0), len(prepared.select("features").first()[0]), n_classes)
 
 
@@ -158,8 +162,9 @@ def train(
     chosen = next(c for c in candidates if c.name == name)
     labelled = _labelled(fit_on, target, labels)
     prep = Pipeline(stages=preparation([target, key, "label"])).fit(labelled)
-    prepared = prep.transform(labelled)
+    prepared = prep.transform(labelled).coalesce(-(-labelled.count() // ROWS_PER_TASK) or 1).persist()
     fitted = chosen.build(settings, _facts(prepared, len(labels or []))).fit(prepared)
+    prepared.unpersist()
     stages = [*prep.stages, fitted]
     if labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=labels))

@@ -54,16 +54,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once to the shared folder and read it back: short lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan, the one its own broadcast choice rests on."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except AttributeError:
+        return None
 
 
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list[Row] | None]:
     """Run ``df`` once and hand back a cheap frame.
 
     At most ``max_rows`` rows come to the driver and return as a broadcast-hinted local
-    frame together with the rows; a larger result is checkpointed and joined by shuffle.
+    frame together with the rows; a larger result is written out and joined by shuffle.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
