@@ -19,4 +19,6 @@ def l2_normalise(v: Column) -> Column:
     """Unit vector; a zero vector is left as it is."""
     norm = l2_norm(v)
     safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(v, lambda x: (x.cast("double") / safe).cast("float"))
+    # The one-element array binds the norm once instead of once per vector element.
+    scaled = F.transform(F.array(safe), lambda n: F.transform(v, lambda x: (x.cast("double") / n).cast("float")))
+    return F.element_at(scaled, 1)

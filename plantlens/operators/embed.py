@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +22,20 @@ def hashing_embedder(dim: int = 256) -> Embedder:
     words = re.compile(r"[a-z0-9]+")
     buckets: dict[str, int] = {}
 
+    def bucket(word: str) -> int:
+        if len(buckets) > 200_000:
+            buckets.clear()
+        spot = buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
+        return spot
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
+        cells: list[int] = []
         for row, text in enumerate(texts):
             for word in words.findall(text.lower()):
                 spot = buckets.get(word)
-                if spot is None:
-                    if len(buckets) > 200_000:
-                        buckets.clear()
-                    spot = buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
-                out[row, spot] += 1.0
-        return out
+                cells.append(row * dim + (bucket(word) if spot is None else spot))
+        counted = np.bincount(np.array(cells, dtype=np.int64), minlength=len(texts) * dim)
+        return counted.reshape(len(texts), dim).astype(float)
 
     return embed
 
@@ -45,13 +48,16 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 def embed_column(df: DataFrame, text: str, embedder: Embedder, name: str = "vec", batch: int = BATCH) -> DataFrame:
     """Adds the L2-normalised vector of ``text``."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = part.fillna("").tolist()
-            rows: list[np.ndarray] = []
-            for start in range(0, len(texts), batch):
-                rows.extend(unit_rows(np.asarray(embedder(texts[start : start + batch]), dtype=float)))
-            yield pd.Series(rows, dtype=object)
+            texts = part.fill_null("").to_pylist()
+            blocks = [
+                unit_rows(np.asarray(embedder(texts[start : start + batch]), dtype=float))
+                for start in range(0, len(texts), batch)
+            ]
+            matrix = np.vstack(blocks) if blocks else np.empty((0, 1), dtype="float32")
+            offsets = np.arange(len(texts) + 1, dtype="int32") * matrix.shape[1]
+            yield pa.ListArray.from_arrays(offsets, matrix.ravel())
 
     return df.withColumn(name, vectors(F.col(text)))

@@ -80,9 +80,9 @@ def grouped_histogram(df: DataFrame, group: str, column: str, bins: int = TARGET
         .groupBy(group, _bin(x, F.lit(lo), F.lit(hi), bins).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
-    totals = counted.groupBy(F.col(group).alias("g")).agg(F.sum("n").alias("total"))
+    totals = counted.groupBy(F.col(group).alias("group__")).agg(F.sum("n").alias("total"))
     width = (hi - lo) / bins or 1.0
-    return counted.join(totals, F.col(group).eqNullSafe(F.col("g"))).select(
+    return counted.join(totals, F.col(group).eqNullSafe(F.col("group__"))).select(
         group, "bin", "n", (F.col("n") / F.col("total") / F.lit(width)).alias("density")
     )
 

@@ -12,16 +12,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plantlens.session import estimated_bytes, settle
 
 EXACT_ROWS = 1_000_000
-# Input size up to which the built-in exact percentile, which holds all distinct values, is used.
+# Estimated input sizes up to which one task may hold a group's distinct values, or sort it.
 ONE_PASS_BYTES = 32 * 1024 * 1024
+SORT_BYTES = 2 * 1024 * 1024
 CELLS_PER_E_FOLD = 256
 CUTS = 4096
+MASK_RANGES = 200
 
 RankRule = Callable[[Column], Column]
 
@@ -32,12 +34,30 @@ def _melt(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def _is_small(df: DataFrame, columns: Sequence[str], limit: int) -> bool:
+    size = estimated_bytes(df.select(*columns))
+    return size is not None and size <= limit
+
+
 def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     """``df`` with its keys renamed, and the null-safe condition that joins on them."""
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys])
     return df.withColumnsRenamed({k: f"{k}__r" for k in keys}), on
 
 
+def _masked(df: DataFrame, columns: Sequence[str], by: Sequence[str], ranges: list[Row] | None) -> DataFrame:
+    """Columns with the values outside every kept range set to NULL, so most rows fall away before the join."""
+    if ranges is None or len(ranges) > MASK_RANGES:
+        return df
+
+    def kept(c: str) -> Column:
+        x = F.col(c).cast("double")
+        spans = [x.between(r["lo"], r["hi"]) for r in ranges if r["column"] == c]
+        return F.when(reduce(lambda a, b: a | b, spans, F.lit(False)), x).alias(c)
+
+    return df.select(*by, *[kept(c) for c in columns])
+
+
 def _holding(counts: DataFrame, part: Sequence[str], order: str, below: Column, wanted: Column) -> DataFrame:
     """Ranges in which at least one wanted rank falls, with the rows before each range."""
     upto = F.sum("rows").over(
@@ -54,14 +74,24 @@ def order_statistics(
     ranks: Sequence[RankRule],
     by: Sequence[str] = (),
     exact_rows: int = EXACT_ROWS,
+    sort_bytes: int = SORT_BYTES,
 ) -> DataFrame:
     """Values at 0-based ranks of each column, per group.
 
     ``ranks`` holds functions from the group's non-null count to a rank. One row per
-    (group, column, position in ``ranks``): ``by..., column, n, pos, value``.
+    (group, column, position in ``ranks``): ``by..., column, n, pos, value``. Small tables
+    are sorted, all others counted.
     """
     keys = [*by, "column"]
     long = _melt(df, columns, by)
+    wanted = F.array(
+        *[F.struct(F.lit(i).alias("pos"), rule(F.col("n")).cast("bigint").alias("rank")) for i, rule in enumerate(ranks)]
+    )
+    if _is_small(df, [*by, *columns], sort_bytes):
+        group = Window.partitionBy(*keys)
+        placed = long.withColumns({"n": F.count("*").over(group), "place": F.row_number().over(group.orderBy("value")) - 1})
+        hits = F.filter(wanted, lambda t: t["rank"] == F.col("place"))
+        return placed.select(*keys, "n", F.explode(hits).alias("t"), "value").select(*keys, "n", F.col("t.pos").alias("pos"), "value")
     v = F.col("value")
     cell = F.floor(F.signum(v) * F.log1p(F.abs(v)) * CELLS_PER_E_FOLD)
     counts = (
@@ -69,9 +99,6 @@ def order_statistics(
         .agg(F.count("*").alias("rows"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         .withColumn("n", F.sum("rows").over(Window.partitionBy(*keys)))
     )
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("pos"), rule(F.col("n")).cast("bigint").alias("rank")) for i, rule in enumerate(ranks)]
-    )
     kept_columns = [*keys, "n", "before", "rows", "lo", "hi", "wanted"]
     ranges, rows = settle(_holding(counts, keys, "cell", F.lit(0), wanted).select(*kept_columns))
 
@@ -81,7 +108,8 @@ def order_statistics(
     def matched(kept: DataFrame) -> DataFrame:
         """Rows inside a kept range, tagged with the range's lower end (ranges are disjoint)."""
         right, on = _renamed(kept.select(*keys, "lo", "hi"), keys)
-        return long.join(right, on & (v >= F.col("lo")) & (v <= F.col("hi"))).select(*keys, "value", "lo", "hi")
+        near = _melt(_masked(df, columns, by, rows), columns, by)
+        return near.join(right, on & (v >= F.col("lo")) & (v <= F.col("hi"))).select(*keys, "value", "lo", "hi")
 
     def with_range(counted: DataFrame, kept: DataFrame) -> DataFrame:
         heads = kept.select(*keys, F.col("lo").alias("head"), "n", F.col("before").alias("ahead"), F.col("wanted").alias("todo"))
@@ -131,14 +159,13 @@ def quantiles(
     Tables whose estimated size is small take one aggregate, all others the counting passes;
     the figures are the same.
     """
-    size = estimated_bytes(df.select(*by, *columns))
-    if size is not None and size <= one_pass_bytes:
+    if _is_small(df, [*by, *columns], one_pass_bytes):
         return _one_pass(df, columns, probs, by)
     rules: list[RankRule] = []
     for p in probs:
         rules.append(lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1)))
         rules.append(lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1)))
-    stats = order_statistics(df, columns, rules, by, exact_rows)
+    stats = order_statistics(df, columns, rules, by, exact_rows, min(one_pass_bytes, SORT_BYTES))
     at = [F.max(F.when(F.col("pos") == i, F.col("value"))) for i in range(len(rules))]
     picked = stats.groupBy(*by, "column", "n").agg(*[a.alias(f"v{i}") for i, a in enumerate(at)])
     out = []

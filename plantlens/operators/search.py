@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions.text import document_stem
-from plantlens.session import cut
+from plantlens.session import cut, settle
 
 # Hits per question, smallest score, smallest name similarity in percent.
 TOP_K = 5
@@ -31,10 +31,15 @@ BLOCK_BYTES = 64 * 1024 * 1024
 SCORE_UNIT = 1e6
 # Document names that are pushed into the chunk scan as a filter; more are joined.
 PUSHED_NAMES = 1_000
+# Documents with their question lists that may be broadcast; more are joined by shuffle.
+LISTED_DOCUMENTS = 2_000
 
 
-def _scan(query_ids: np.ndarray, matrix: np.ndarray, allowed: dict[str, list[int]] | None, restricted: np.ndarray, k: int, threshold: float):
-    """Arrow batches of (chunk_id, source, chunk, vec) to candidate hits."""
+def _scan(query_ids: np.ndarray, matrix: np.ndarray, restricted: np.ndarray, k: int, threshold: float):
+    """Arrow batches of (chunk_id, source, chunk, vec[, asked]) to candidate hits.
+
+    ``asked`` lists the restricted questions whose documents include the chunk's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worst = np.full(len(query_ids), -np.inf)
@@ -48,13 +53,13 @@ def _scan(query_ids: np.ndarray, matrix: np.ndarray, allowed: dict[str, list[int
             ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
             scores = np.floor(vectors @ matrix.T * SCORE_UNIT + 0.5) / SCORE_UNIT
             may = scores >= threshold
-            if allowed is not None:
-                names = batch.column("source").dictionary_encode()
-                mask = np.zeros((len(names.dictionary), len(query_ids)), dtype=bool)
-                mask[:, ~restricted] = True
-                for i, name in enumerate(names.dictionary.to_pylist()):
-                    mask[i, allowed.get(name, [])] = True
-                may &= mask[names.indices.to_numpy(zero_copy_only=False)]
+            if restricted.any():
+                open_to = np.tile(~restricted, (batch.num_rows, 1))
+                asked = batch.column("asked")
+                listed = asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                named = np.searchsorted(query_ids, asked.flatten().to_numpy(zero_copy_only=False))
+                open_to[np.repeat(np.arange(batch.num_rows), listed), named] = True
+                may &= open_to
             may &= (scores > worst) | ((scores == worst) & (ids[:, None] < worst_id))
             took_rows: list[np.ndarray] = []
             took_queries: list[np.ndarray] = []
@@ -110,12 +115,11 @@ def top_k(
             continue
         query_ids = np.array([r["query_id"] for r in rows], dtype="int64")
         matrix = np.array([r["vec"] for r in rows], dtype=float)
-        allowed, restricted = None, np.zeros(len(rows), dtype=bool)
+        restricted = np.zeros(len(rows), dtype=bool)
         scanned = table
         if named is not None:
-            position = {int(q): i for i, q in enumerate(query_ids)}
-            allowed, scanned = _block_mentions(named.where(block_of == b), position, restricted, table)
-        found.append(scanned.mapInArrow(_scan(query_ids, matrix, allowed, restricted, k, threshold), HIT_SCHEMA))
+            restricted, scanned = _restrict(table, named.where(block_of == b), query_ids)
+        found.append(scanned.mapInArrow(_scan(query_ids, matrix, restricted, k, threshold), HIT_SCHEMA))
     if not found:
         return chunks.sparkSession.createDataFrame([], f"{HIT_SCHEMA}, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -123,19 +127,20 @@ def top_k(
     return hits.where(F.col("rank") <= k)
 
 
-def _block_mentions(pairs: DataFrame, position: dict[int, int], restricted: np.ndarray, table: DataFrame):
-    """Which questions each document may answer; when all are restricted, other documents are not scanned."""
-    allowed: dict[str, list[int]] = {}
-    for r in pairs.toLocalIterator():
-        spot = position[int(r["query_id"])]
-        restricted[spot] = True
-        allowed.setdefault(r["source"], []).append(spot)
-    if restricted.all() and len(allowed) <= PUSHED_NAMES:
-        table = table.where(F.col("source").isin(list(allowed)))
-    elif restricted.all():
-        wanted = pairs.select(F.col("source").alias("s")).distinct()
-        table = table.join(wanted, F.col("source") == F.col("s"), "left_semi")
-    return allowed, table
+def _restrict(table: DataFrame, pairs: DataFrame, query_ids: np.ndarray) -> tuple[np.ndarray, DataFrame]:
+    """Flags of the block's restricted questions, and chunks with the questions their document answers.
+
+    A document's list is bounded by the block's questions. When every question is restricted,
+    other documents are not scanned; a few names are pushed into the scan.
+    """
+    limited = [r[0] for r in pairs.select("query_id").distinct().collect()]
+    restricted = np.isin(query_ids, np.array(limited, dtype="int64"))
+    if not restricted.any():
+        return restricted, table
+    by_source, rows = settle(pairs.groupBy("source").agg(F.collect_set("query_id").alias("asked")), LISTED_DOCUMENTS)
+    if restricted.all() and rows is not None and len(rows) <= PUSHED_NAMES:
+        table = table.where(F.col("source").isin([r["source"] for r in rows]))
+    return restricted, table.join(by_source, "source", "inner" if restricted.all() else "left")
 
 
 def named_documents(queries: DataFrame, sources: DataFrame) -> DataFrame:
@@ -172,26 +177,33 @@ def _longest_common(bits: dict[str, int], length: int, text: str) -> int:
 def partial_similarity(a: str, b: str, needed: int = 0) -> int:
     """Best similarity, in rounded percent, of the shorter text with any equally long or clipped window of the longer.
 
-    Similarity is 2 * common subsequence / total length. Windows that cannot exceed ``needed``
-    by their character counts are passed over.
+    Similarity is 2 * common subsequence / total length; of two equally long texts each is
+    slid along the other. Windows whose characters alone rule out more than ``needed`` are
+    passed over.
     """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 100 if not long else 0
+    best = _best_window(short, long, needed)
+    if len(a) == len(b):
+        best = max(best, _best_window(long, short, needed))
+    return round(best)
+
+
+def _best_window(short: str, long: str, needed: int) -> float:
     m, n = len(short), len(long)
-    if not m:
-        return 100 if not n else 0
     bits: dict[str, int] = {}
     for i, char in enumerate(short):
         bits[char] = bits.get(char, 0) | (1 << i)
-    spans = [(max(0, end - m), min(end, n)) for end in range(1, n + m)]
+    shared = np.concatenate([[0], np.cumsum([c in bits for c in long])])
     best = 0.0
-    inside = np.concatenate([[0], np.cumsum([c in bits for c in long])])
-    for start, stop in spans:
-        width = stop - start
-        bound = 200.0 * min(inside[stop] - inside[start], m) / (m + width)
-        if bound <= best or round(bound) <= needed:
-            continue
-        best = max(best, 200.0 * _longest_common(bits, m, long[start:stop]) / (m + width))
-    return round(best)
+    for end in range(1, n + m):
+        start, stop = max(0, end - m), min(end, n)
+        total = m + stop - start
+        bound = 200.0 * min(int(shared[stop] - shared[start]), m) / total
+        if bound > best and round(bound) > needed:
+            best = max(best, 200.0 * _longest_common(bits, m, long[start:stop]) / total)
+    return best
 
 
 def similar_documents(queries: DataFrame, sources: DataFrame, ratio: int = MENTION_RATIO) -> DataFrame:

@@ -51,7 +51,8 @@ def test_null_group_and_empty_column(spark):
         assert "y" not in quantile_values(df, ["x", "y"], [0.5], one_pass_bytes=limit)
 
 
-def test_ranks(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 25])
+def test_ranks(spark, limit):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("x"))
-    rows = order_statistics(df, ["x"], [lambda n: F.lit(0), lambda n: n - 1, lambda n: F.floor(n * 0.8)], exact_rows=3).collect()
+    rows = order_statistics(df, ["x"], [lambda n: F.lit(0), lambda n: n - 1, lambda n: F.floor(n * 0.8)], exact_rows=3, sort_bytes=limit).collect()
     assert {r["pos"]: r["value"] for r in rows} == {0: 0.0, 1: 999.0, 2: 800.0}
