@@ -96,9 +96,14 @@ def cross_validate(
     combos = {c.name: sample_grid(c.grid, draws) for c in candidates}
     scores: dict[str, list[list[float]]] = {c.name: [[] for _ in combos[c.name]] for c in candidates}
     failed: dict[str, str] = {}
-    for fold in range(folds):
-        part = folded.where(F.col("fold") != fold)
-        prep = Pipeline(stages=preparation(excluded)).fit(part)
+
+    def without(fold: int) -> DataFrame:
+        return folded.where(F.col("fold") != fold)
+
+    with ThreadPoolExecutor(max_workers=PARALLEL) as pool:
+        preps = list(pool.map(lambda fold: Pipeline(stages=preparation(excluded)).fit(without(fold)), range(folds)))
+    for fold, prep in enumerate(preps):
+        part = without(fold)
         fit_on = prep.transform(part).select("label", "features").coalesce(tasks).persist()
         check_on = prep.transform(folded.where(F.col("fold") == fold)).select("label", "features").persist()
         facts = _facts(fit_on, len(labels or []))
