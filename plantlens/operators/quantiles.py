@@ -23,7 +23,8 @@ ONE_PASS_BYTES = 32 * 1024 * 1024
 SORT_BYTES = 2 * 1024 * 1024
 CELLS_PER_E_FOLD = 256
 CUTS = 4096
-MASK_RANGES = 200
+MASK_RANGES = 2_000
+MASK_SPANS = 12
 
 RankRule = Callable[[Column], Column]
 
@@ -45,6 +46,21 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     return df.withColumnsRenamed({k: f"{k}__r" for k in keys}), on
 
 
+def _spans(ranges: list[Row], column: str) -> list[tuple[float, float]]:
+    """The kept ranges of a column over all groups, merged to at most ``MASK_SPANS`` covering spans."""
+    merged: list[list[float]] = []
+    for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges if r["column"] == column):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    while len(merged) > MASK_SPANS:
+        gaps = [merged[i + 1][0] - merged[i][1] for i in range(len(merged) - 1)]
+        i = gaps.index(min(gaps))
+        merged[i : i + 2] = [[merged[i][0], merged[i + 1][1]]]
+    return [(lo, hi) for lo, hi in merged]
+
+
 def _masked(df: DataFrame, columns: Sequence[str], by: Sequence[str], ranges: list[Row] | None) -> DataFrame:
     """Columns with the values outside every kept range set to NULL, so most rows fall away before the join."""
     if ranges is None or len(ranges) > MASK_RANGES:
@@ -52,8 +68,8 @@ def _masked(df: DataFrame, columns: Sequence[str], by: Sequence[str], ranges: li
 
     def kept(c: str) -> Column:
         x = F.col(c).cast("double")
-        spans = [x.between(r["lo"], r["hi"]) for r in ranges if r["column"] == c]
-        return F.when(reduce(lambda a, b: a | b, spans, F.lit(False)), x).alias(c)
+        inside = [x.between(lo, hi) for lo, hi in _spans(ranges, c)]
+        return F.when(reduce(lambda a, b: a | b, inside, F.lit(False)), x).alias(c)
 
     return df.select(*by, *[kept(c) for c in columns])
 

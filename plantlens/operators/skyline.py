@@ -20,20 +20,35 @@ from plantlens.operators.quantiles import quantiles
 from plantlens.session import cut, settle
 
 BLOCK_ROWS = 8_192
+RIVALS = 128
 WINDOW_ROWS = 200_000
 
 
+def _beaten(rows: np.ndarray, rivals: np.ndarray) -> np.ndarray:
+    """Flags of the rows that some rival dominates."""
+    lost = np.zeros(len(rows), dtype=bool)
+    for start in range(0, len(rivals), RIVALS):
+        some = rivals[start : start + RIVALS]
+        no_worse = np.ones((len(some), len(rows)), dtype=bool)
+        better = np.zeros((len(some), len(rows)), dtype=bool)
+        for d in range(rows.shape[1]):
+            mine, theirs = some[:, d, None], rows[None, :, d]
+            no_worse &= mine <= theirs
+            better |= mine < theirs
+        lost |= (no_worse & better).any(axis=0)
+    return lost
+
+
 def _survivors(costs: np.ndarray) -> np.ndarray:
-    """Positions of rows that no row of the same block dominates."""
+    """Positions of rows that no row of the same block dominates; small sums, the likely winners, compare first."""
     alive = np.argsort(costs.sum(axis=1), kind="stable")
-    spot = 0
-    while spot < len(alive):
-        rows, pivot = costs[alive], costs[alive[spot]]
-        beaten = (rows >= pivot).all(axis=1) & (rows > pivot).any(axis=1)
-        if beaten.any():
-            spot -= int(beaten[:spot].sum())
-            alive = alive[~beaten]
-        spot += 1
+    done, step = 0, 8
+    while done < len(alive):
+        rows = costs[alive]
+        kept = ~_beaten(rows, rows[done : done + step])
+        done = int(kept[: done + step].sum())
+        alive = alive[kept]
+        step = min(2 * step, RIVALS)
     return alive
 
 
@@ -97,16 +112,12 @@ def _block_check(vectors: DataFrame, costs: Sequence[str], blocks: int) -> DataF
     targets = base.select(*costs, F.col("own__").alias("t__"), every.alias("f__"), F.lit(True).alias("target__"))
     filters = base.select(*costs, every.alias("t__"), F.col("own__").alias("f__"), F.lit(False).alias("target__"))
 
-    def beaten(group: pd.DataFrame) -> pd.DataFrame:
+    def losing(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.loc[group["target__"], list(costs)]
-        target = rows.to_numpy(dtype=float)
-        against = group.loc[~group["target__"], list(costs)].to_numpy(dtype=float)
-        lost = np.zeros(len(target), dtype=bool)
-        for pivot in against:
-            lost |= (target >= pivot).all(axis=1) & (target > pivot).any(axis=1)
-        return rows[lost]
-
-    losers = targets.unionByName(filters).groupBy("t__", "f__").applyInPandas(beaten, _schema(costs)).distinct()
+        against = group.loc[~group["target__"], list(costs)]
+        return rows[_beaten(rows.to_numpy(dtype=float), against.to_numpy(dtype=float))]
+
+    losers = targets.unionByName(filters).groupBy("t__", "f__").applyInPandas(losing, _schema(costs)).distinct()
     return vectors.join(losers, list(costs), "left_anti")
 
 

@@ -56,3 +56,13 @@ def test_ranks(spark, limit):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("x"))
     rows = order_statistics(df, ["x"], [lambda n: F.lit(0), lambda n: n - 1, lambda n: F.floor(n * 0.8)], exact_rows=3, sort_bytes=limit).collect()
     assert {r["pos"]: r["value"] for r in rows} == {0: 0.0, 1: 999.0, 2: 800.0}
+
+
+def test_many_groups_far_apart(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": np.arange(1200) % 40})
+    pdf["x"] = pdf.g * 1000.0 - 20000 + rng.normal(0, 1, len(pdf))
+    rows = quantiles(spark.createDataFrame(pdf), ["x"], [0.1, 0.5], ["g"], one_pass_bytes=0, exact_rows=3).collect()
+    assert len(rows) == 40
+    for r in rows:
+        np.testing.assert_allclose(r["q"], pdf[pdf.g == r["g"]].x.quantile([0.1, 0.5]).to_numpy(), rtol=1e-12)
