@@ -8,8 +8,8 @@ from checks.base import SQL_POINTS, energy_sql, point_table, query, r4, s4, sql_
 from checks.tables import SIGNALS_SQL
 from plantlens.functions import features as feat
 from plantlens.functions import scalar
-from plantlens.operators import clean, skyline, whatif
-from plantlens.operators.grid import SEARCH_BOUNDS, _step_and_shift, best_candidate, stratified_grid
+from plantlens.operators import skyline, whatif
+from plantlens.operators.grid import SEARCH_BOUNDS, best_candidate, stratified_grid
 from plantlens.operators.scoring import RAW_DEFAULTS, column_scorer, complete_points, score_tasks
 from plantlens.plans.pareto import pareto_points
 
