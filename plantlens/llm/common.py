@@ -43,7 +43,7 @@ def words_of(text: str) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered; emptied at ``limit`` words so that memory stays bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

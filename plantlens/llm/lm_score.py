@@ -76,7 +76,7 @@ def windows(hashes: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndar
     return out
 
 
-def slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[slice]:
+def slices(texts: list[str | None], limit: int = 1_500_000) -> Iterator[slice]:
     """Runs of texts of about ``limit`` characters."""
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -111,7 +111,7 @@ def count_ngrams(order: int, bucket_bits: int):
                     w = w[w != 0]
                     parts.append(w)
                     size += len(w)
-                if size > 8_000_000:
+                if size > 3_000_000:
                     yield packed(parts)
                     parts, size = [], 0
         if size:
@@ -260,7 +260,7 @@ def score_batches(shared):
         all_rest = math.log10(model.tokens + model.words + 1)
         for batch in batches:
             ids, texts, held = (batch.column(i).to_pylist() for i in range(3))
-            for s in slices(texts, 8_000_000):
+            for s in slices(texts, 2_500_000):
                 lists, hashes, lengths = padded(texts[s], model.order, known)
                 distinct, back = np.unique(hashes, return_inverse=True)
                 log_p = model.log_probabilities(hashes, lengths, distinct, back)
