@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def words_of(text: str) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered; emptied at ``limit`` words so that memory stays bounded."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 120_000):
         super().__init__()
         self.limit = limit
 
@@ -71,6 +72,16 @@ def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0xD6E8FEB86659FD93) + right)
 
 
+def text_runs(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[str | None]]]:
+    """Runs of a text column of about ``limit`` bytes each, as Python strings; one run is held at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit)))
+        yield slice(start, stop), column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import WordHashes, bloom_positions, fold_of, join_hash, power_of_two, query, record_batch, table, words_of
+from plantlens.llm.common import WordHashes, bloom_positions, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
 from plantlens.session import cut
 
 ORDER = 2
@@ -43,10 +43,11 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
     seen: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(words_of(text or ""))
-            seen[END] += 1
-            if len(seen) > 500_000:
+        for _, texts in text_runs(batch.column(0), 1_500_000):
+            for text in texts:
+                seen.update(words_of(text or ""))
+            seen[END] += len(texts)
+            if len(seen) > 400_000:
                 yield record_batch(schema, [list(seen), list(seen.values())])
                 seen = Counter()
     if seen:
@@ -76,18 +77,6 @@ def windows(hashes: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndar
     return out
 
 
-def slices(texts: list[str | None], limit: int = 1_500_000) -> Iterator[slice]:
-    """Runs of texts of about ``limit`` characters."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 1
-        if size >= limit:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def count_ngrams(order: int, bucket_bits: int):
     """Task-side n-gram counts, packed by bucket: the 32 hash bits that follow the bucket's, and counts."""
     schema = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
@@ -104,14 +93,13 @@ def count_ngrams(order: int, bucket_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts, size = WordHashes(), [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for s in slices(texts):
-                _, hashes, lengths = padded(texts[s], order, known)
+            for _, texts in text_runs(batch.column(0), 1_500_000):
+                _, hashes, lengths = padded(texts, order, known)
                 for w in windows(hashes, lengths, order):
                     w = w[w != 0]
                     parts.append(w)
                     size += len(w)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield packed(parts)
                     parts, size = [], 0
         if size:
@@ -259,9 +247,9 @@ def score_batches(shared):
         known = WordHashes()
         all_rest = math.log10(model.tokens + model.words + 1)
         for batch in batches:
-            ids, texts, held = (batch.column(i).to_pylist() for i in range(3))
-            for s in slices(texts, 2_500_000):
-                lists, hashes, lengths = padded(texts[s], model.order, known)
+            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for s, texts in text_runs(batch.column(1), 2_000_000):
+                lists, hashes, lengths = padded(texts, model.order, known)
                 distinct, back = np.unique(hashes, return_inverse=True)
                 log_p = model.log_probabilities(hashes, lengths, distinct, back)
                 exact = model.head_counts(distinct)
