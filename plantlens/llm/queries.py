@@ -1,4 +1,4 @@
 """All registered queries of the text operators; importing this module registers them."""
 
-from plantlens.llm import decontaminate, line_rules, lm_score, piece_codec  # noqa: F401
+from plantlens.llm import decontaminate, line_rules, lm_score, piece_codec, pu_quality, toxicity  # noqa: F401
 from plantlens.llm.common import QUERIES, SQL  # noqa: F401
