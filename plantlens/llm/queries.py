@@ -1,4 +1,15 @@
 """All registered queries of the text operators; importing this module registers them."""
 
-from plantlens.llm import decontaminate, line_rules, lm_score, ngram_join, piece_codec, pu_quality, toxicity  # noqa: F401
+from plantlens.llm import (  # noqa: F401
+    chat_format,
+    decontaminate,
+    license_scan,
+    line_rules,
+    lm_score,
+    ngram_join,
+    piece_codec,
+    pu_quality,
+    revisits,
+    toxicity,
+)
 from plantlens.llm.common import QUERIES, SQL  # noqa: F401
