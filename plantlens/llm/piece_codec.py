@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from plantlens.llm.common import query, record_batch, table
+from plantlens.llm.common import query, record_batch, table, text_runs
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -286,29 +286,32 @@ def decode_column(docs: DataFrame, path: str, ids_column: str = "ids", out: str
     return docs.withColumn(out, F.pandas_udf(run, "string", functionType=F.PandasUDFType.SCALAR_ITER)(F.col(ids_column)))
 
 
-def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: number and digest of the encoded ids, digest of the text decoded from them.
+def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per row of ``docs``: number and digest of the encoded ids, digest of the text decoded from them, the ids if asked for.
 
-    Encoding and decoding run in one task pass, so the id arrays do not travel between Python and the JVM.
+    Encoding and decoding run in one task pass, so the id arrays need not travel between Python and the JVM.
     NULL text is an empty one, repeated rows give repeated results, an empty table gives none; no other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, end, names = shared.value.codec(), shared.value.end, [str(i) for i in range(len(shared.value.texts))]
         for batch in batches:
-            ids_out, rows = batch.column(0).to_pylist(), []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py())
-                ids.append(end)
-                numbers = " ".join(map(names.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
-            if rows:
-                yield record_batch(schema, [ids_out, *map(list, zip(*rows, strict=True))])
+            keys = batch.column(0).to_pylist()
+            for s, texts in text_runs(batch.column(1), 4_000_000):
+                rows = []
+                for text in texts:
+                    ids = codec.encode(text)
+                    ids.append(end)
+                    numbers = " ".join(map(names.__getitem__, ids))
+                    row = (len(ids), hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+                    rows.append(row + (ids,) * with_ids)
+                yield record_batch(schema, [keys[s], *map(list, zip(*rows, strict=True))])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def default_model() -> str:
