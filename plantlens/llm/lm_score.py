@@ -5,7 +5,7 @@ the filter q times, as (n-gram, 1) ... (n-gram, q). A count is read by probing (
 until a probe fails, so it can only be read too high, with a probability that falls geometrically.
 The filter is built bucket by bucket in tasks (a bucket of the hash space is a section of the
 filter) and broadcast; its size follows the number of training tokens up to ``max_bits``. Beyond that the lowest class
-starts at a higher count: n-grams with at least ``floor`` occurrences number at most tokens / floor, so the load of the
+starts at a higher count: entries number at most 4/3 of tokens / floor for each n-gram length, so the load of the
 filter has a proven bound at every size.
 """
 
@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import WordHashes, bloom_positions, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
+from plantlens.llm.common import WordHashes, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
+from plantlens.llm.log_filter import PACKED, Filter, build_filter, packed
 from plantlens.session import cut
 
 ORDER = 2
-BASE = 1.5
-PROBES = 3
 BITS_PER_TOKEN = 4
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 BUCKET_TOKENS = 1 << 20
@@ -78,17 +77,7 @@ def windows(hashes: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndar
 
 
 def count_ngrams(order: int, bucket_bits: int):
-    """Task-side n-gram counts, packed by bucket: the 32 hash bits that follow the bucket's, and counts."""
-    schema = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-
-    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-        bucket = (grams >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(grams), np.int64)
-        rest = ((grams << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
-        edges = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
-        full = [b for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
-        counts = counts.astype(np.uint32)
-        return record_batch(schema, [full, *[[a[edges[b] : edges[b + 1]].tobytes() for b in full] for a in (rest, counts)]])
+    """Task-side n-gram counts, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts, size = WordHashes(), [], 0
@@ -100,86 +89,14 @@ def count_ngrams(order: int, bucket_bits: int):
                     parts.append(w)
                     size += len(w)
                 if size > 1_500_000:
-                    yield packed(parts)
+                    yield packed(parts, bucket_bits)
                     parts, size = [], 0
         if size:
-            yield packed(parts)
+            yield packed(parts, bucket_bits)
 
     return run
 
 
-def classes(counts: np.ndarray, floor: int) -> np.ndarray:
-    """Class of a count: 0 below ``floor``, else 1 + floor(log_BASE(count / floor)), which is at most count / floor."""
-    ratio = np.maximum(counts, 1) / floor
-    return np.where(counts >= floor, 1 + np.floor(np.log(np.maximum(ratio, 1.0)) / math.log(BASE) + 1e-9), 0).astype(np.int64)
-
-
-def class_counts(floor: int, top: int = 120) -> np.ndarray:
-    """The count that stands for each class: the middle of the counts in it."""
-    out = [0.0]
-    for q in range(1, top + 1):
-        low, high = math.ceil(floor * BASE ** (q - 1) - 1e-9), math.ceil(floor * BASE**q - 1e-9) - 1
-        out.append((low + max(low, high)) / 2)
-    return np.array(out)
-
-
-def level_keys(grams: np.ndarray, level: int) -> np.ndarray:
-    return grams.astype(np.uint64) + np.uint64(level << 33)
-
-
-def build_section(section_bits: int, floor: int):
-    """One bucket's section of the filter from its packed counts."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rest = np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("grams").to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(rest, kind="stable")
-        rest, counts = rest[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
-        rest, totals = rest[first], np.add.reduceat(counts, first)
-        q = classes(totals, floor)
-        bits = np.zeros(section_bits, dtype=bool)
-        level = 1
-        while len(rest := rest[q >= level]):
-            q = q[q >= level]
-            for at in bloom_positions(level_keys(rest, level), section_bits, PROBES):
-                bits[at] = True
-            level += 1
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    return run
-
-
-class Filter:
-    """The filter's bits and how to probe them; travels in a broadcast."""
-
-    def __init__(self, bits: np.ndarray, bucket_bits: int, section_bits: int, floor: int):
-        self.bits, self.bucket_bits, self.section_bits, self.floor = bits, bucket_bits, section_bits, floor
-
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Counts read by repeated probes; 0 where the first probe fails or the hash is 0."""
-        section = (grams >> np.uint64(64 - self.bucket_bits)) * np.uint64(self.section_bits) if self.bucket_bits else np.zeros(len(grams), np.uint64)
-        rest = (grams << np.uint64(self.bucket_bits)) >> np.uint64(32)
-        level = np.zeros(len(grams), dtype=np.int64)
-        alive = np.flatnonzero(grams != 0)
-        step = 1
-        while len(alive):
-            start, keys = section[alive], level_keys(rest[alive], step)
-            inside = np.arange(len(alive))
-            for at in bloom_positions(keys, self.section_bits, PROBES):
-                at = start[inside] + at[inside]
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                inside = inside[hit.astype(bool)]
-                if len(inside) == 0:
-                    break
-            alive = alive[inside]
-            level[alive] = step
-            step += 1
-            if step > 120:
-                break
-        return class_counts(self.floor)[np.minimum(level, 120)]
-
-
 class Model:
     """Filter, totals and the counts of the most frequent words (by sorted word hash)."""
 
@@ -223,19 +140,10 @@ def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS,
     bits = power_of_two(BITS_PER_TOKEN * max(order, 1) / 2 * tokens, MIN_BITS, max_bits)
     floor = max(1, math.ceil(BITS_PER_TOKEN * order / 2 * tokens / max_bits))
     bucket_bits = power_of_two(order * tokens / BUCKET_TOKENS, 1, bits >> 13).bit_length() - 1
-    section = bits >> bucket_bits
-    # Sections are written first: only they, not the plan's working rows, come together on the driver.
-    sections = cut(
-        texts.mapInArrow(count_ngrams(order, bucket_bits), "bucket int, grams binary, counts binary")
-        .groupBy("bucket")
-        .applyInArrow(build_section(section, floor), "bucket int, bits binary")
-    )
-    array = np.zeros(bits // 8, dtype=np.uint8)
-    for row in sections.toLocalIterator():
-        array[row["bucket"] * section // 8 : (row["bucket"] + 1) * section // 8] = np.frombuffer(row["bits"], np.uint8)
+    filter_ = build_filter(texts.mapInArrow(count_ngrams(order, bucket_bits), PACKED), bits, bucket_bits, floor)
     low = counts.where(F.col("n") < floor).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if floor > 1 else 0
     unseen = min(0.5, max(single, int(low), 1) / max(tokens, 2))
-    return Model(Filter(array, bucket_bits, section, floor), order, tokens, words, unseen, head), counts
+    return Model(filter_, order, tokens, words, unseen, head), counts
 
 
 def score_batches(shared):
