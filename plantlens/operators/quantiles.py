@@ -15,18 +15,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from plantlens.session import estimated_bytes, settle
+from plantlens.session import settle
 
 EXACT_ROWS = 1_000_000
-# Estimated input sizes up to which one task may hold a group's distinct values, or sort it.
-ONE_PASS_BYTES = 32 * 1024 * 1024
-SORT_BYTES = 2 * 1024 * 1024
 CELLS_PER_E_FOLD = 256
 CUTS = 4096
 MASK_RANGES = 2_000
 MASK_SPANS = 12
 
 RankRule = Callable[[Column], Column]
+# From a group's row count to the array of wanted ranks.
+RankRules = Callable[[Column], Column]
 
 
 def _melt(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -35,11 +34,6 @@ def _melt(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _is_small(df: DataFrame, columns: Sequence[str], limit: int) -> bool:
-    size = estimated_bytes(df.select(*columns))
-    return size is not None and size <= limit
-
-
 def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     """``df`` with its keys renamed, and the null-safe condition that joins on them."""
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys])
@@ -87,27 +81,30 @@ def _holding(counts: DataFrame, part: Sequence[str], order: str, below: Column,
 def order_statistics(
     df: DataFrame,
     columns: Sequence[str],
-    ranks: Sequence[RankRule],
+    ranks: Sequence[RankRule] | RankRules,
     by: Sequence[str] = (),
     exact_rows: int = EXACT_ROWS,
-    sort_bytes: int = SORT_BYTES,
 ) -> DataFrame:
     """Values at 0-based ranks of each column, per group.
 
-    ``ranks`` holds functions from the group's non-null count to a rank. One row per
-    (group, column, position in ``ranks``): ``by..., column, n, pos, value``. Small tables
-    are sorted, all others counted.
+    ``ranks`` holds functions from the group's non-null count to a rank, or is one function to an
+    array of ranks. One row per (group, column, position in ``ranks``): ``by..., column, n, pos, value``.
+    The same passes run at every size.
     """
+    clash = {"column", "n", "pos", "value"} & set(by)
+    held = {b: f"g{i}__" for i, b in enumerate(by)}
+    found = _order_statistics(df.withColumnsRenamed(held), columns, ranks, list(held.values()), exact_rows)
+    if not clash:
+        return found.withColumnsRenamed({g: b for b, g in held.items()})
+    raise ValueError(f"a group column cannot be called {sorted(clash)[0]!r} here")
+
+
+def _order_statistics(df: DataFrame, columns: Sequence[str], ranks: Sequence[RankRule] | RankRules, by: Sequence[str], exact_rows: int) -> DataFrame:
     keys = [*by, "column"]
     long = _melt(df, columns, by)
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("pos"), rule(F.col("n")).cast("bigint").alias("rank")) for i, rule in enumerate(ranks)]
-    )
-    if _is_small(df, [*by, *columns], sort_bytes):
-        group = Window.partitionBy(*keys)
-        placed = long.withColumns({"n": F.count("*").over(group), "place": F.row_number().over(group.orderBy("value")) - 1})
-        hits = F.filter(wanted, lambda t: t["rank"] == F.col("place"))
-        return placed.select(*keys, "n", F.explode(hits).alias("t"), "value").select(*keys, "n", F.col("t.pos").alias("pos"), "value")
+    n = F.col("n")
+    asked = ranks(n) if callable(ranks) else F.array(*[rule(n).cast("bigint") for rule in ranks])
+    wanted = F.transform(asked, lambda r, i: F.struct(i.alias("pos"), r.cast("bigint").alias("rank")))
     v = F.col("value")
     cell = F.floor(F.signum(v) * F.log1p(F.abs(v)) * CELLS_PER_E_FOLD)
     counts = (
@@ -168,38 +165,31 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     exact_rows: int = EXACT_ROWS,
-    one_pass_bytes: int = ONE_PASS_BYTES,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row ``by..., column, n, q`` with ``q`` in ``probs`` order.
 
-    Tables whose estimated size is small take one aggregate, all others the counting passes;
-    the figures are the same.
+    The plan does not grow with the number of probabilities: ranks and results are arrays.
     """
-    if _is_small(df, [*by, *columns], one_pass_bytes):
-        return _one_pass(df, columns, probs, by)
-    rules: list[RankRule] = []
-    for p in probs:
-        rules.append(lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1)))
-        rules.append(lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1)))
-    stats = order_statistics(df, columns, rules, by, exact_rows, min(one_pass_bytes, SORT_BYTES))
-    at = [F.max(F.when(F.col("pos") == i, F.col("value"))) for i in range(len(rules))]
-    picked = stats.groupBy(*by, "column", "n").agg(*[a.alias(f"v{i}") for i, a in enumerate(at)])
-    out = []
-    for j, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = F.col(f"v{2 * j}"), F.col(f"v{2 * j + 1}")
-        out.append(low + (high - low) * (spot - F.floor(spot)))
-    return picked.select(*by, "column", "n", F.array(*out).alias("q"))
-
-
-def _one_pass(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    figures, cells = [], []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
-        figures += [F.count(x).alias(f"n{i}__"), F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}__")]
-        cells.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}__").alias("n"), F.col(f"q{i}__").alias("q")))
-    return df.groupBy(*by).agg(*figures).select(*by, F.inline(F.array(*cells))).where("n > 0")
+    clash = {"column", "n", "q"} & set(by)
+    if clash:
+        raise ValueError(f"a group column cannot be called {sorted(clash)[0]!r} here")
+    held = {b: f"g{i}__" for i, b in enumerate(by)}
+    spots = F.array(*[F.lit(float(p)) for p in probs])
+
+    def ranks(n: Column) -> Column:
+        return F.flatten(F.transform(spots, lambda p: F.array(F.floor(p * (n - 1)), F.ceil(p * (n - 1)))))
+
+    found = _order_statistics(df.withColumnsRenamed(held), columns, ranks, list(held.values()), exact_rows)
+    at = F.map_from_entries(F.collect_list(F.struct("pos", "value")))
+    picked = found.groupBy(*held.values(), "column", "n").agg(at.alias("at__"))
+
+    def between(p: Column, i: Column) -> Column:
+        spot = p * (F.col("n") - 1)
+        low, high = F.element_at("at__", 2 * i), F.element_at("at__", 2 * i + 1)
+        return low + (high - low) * (spot - F.floor(spot))
+
+    out = picked.select(*held.values(), "column", "n", F.transform(spots, between).alias("q"))
+    return out.withColumnsRenamed({g: b for b, g in held.items()})
 
 
 def quantile_values(
@@ -207,9 +197,8 @@ def quantile_values(
     columns: Sequence[str],
     probs: Sequence[float],
     exact_rows: int = EXACT_ROWS,
-    one_pass_bytes: int = ONE_PASS_BYTES,
 ) -> dict[str, list[float]]:
     """Quantiles of whole columns as plain numbers (as many rows as columns reach the driver)."""
     if not columns:
         return {}
-    return {r["column"]: list(r["q"]) for r in quantiles(df, columns, probs, (), exact_rows, one_pass_bytes).collect()}
+    return {r["column"]: list(r["q"]) for r in quantiles(df, columns, probs, (), exact_rows).collect()}

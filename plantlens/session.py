@@ -60,14 +60,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, the one its own broadcast choice rests on."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except AttributeError:
-        return None
-
-
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, list[Row] | None]:
     """Run ``df`` once and hand back a cheap frame.
 

@@ -23,7 +23,7 @@ def frame():
     )
 
 
-@pytest.mark.parametrize("settings", [{}, {"one_pass_bytes": 0}, {"one_pass_bytes": 0, "exact_rows": 5}])
+@pytest.mark.parametrize("settings", [{}, {"exact_rows": 500}, {"exact_rows": 5}])
 def test_same_as_pandas_on_every_path(spark, frame, settings):
     df = spark.createDataFrame(frame)
     columns = ["wide", "hot", "ints", "gappy"]
@@ -32,7 +32,7 @@ def test_same_as_pandas_on_every_path(spark, frame, settings):
         np.testing.assert_allclose(got[c], frame[c].quantile(PROBS).to_numpy(), rtol=1e-12)
 
 
-@pytest.mark.parametrize("settings", [{}, {"one_pass_bytes": 0, "exact_rows": 5}])
+@pytest.mark.parametrize("settings", [{}, {"exact_rows": 5}])
 def test_groups(spark, frame, settings):
     df = spark.createDataFrame(frame)
     rows = quantiles(df, ["wide", "gappy"], [0.25, 0.9], ["g"], **settings).collect()
@@ -45,16 +45,15 @@ def test_groups(spark, frame, settings):
 
 def test_null_group_and_empty_column(spark):
     df = spark.createDataFrame([(None, 1.0, None), (None, 3.0, None), ("a", 5.0, None)], "g string, x double, y double")
-    for limit in (0, 1 << 25):
-        got = {r["g"]: r["q"] for r in quantiles(df, ["x"], [0.5], ["g"], one_pass_bytes=limit).collect()}
-        assert got == {None: [2.0], "a": [5.0]}
-        assert "y" not in quantile_values(df, ["x", "y"], [0.5], one_pass_bytes=limit)
+    got = {r["g"]: r["q"] for r in quantiles(df, ["x"], [0.5], ["g"]).collect()}
+    assert got == {None: [2.0], "a": [5.0]}
+    assert "y" not in quantile_values(df, ["x", "y"], [0.5])
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 25])
-def test_ranks(spark, limit):
+@pytest.mark.parametrize("exact_rows", [3, 1_000_000])
+def test_ranks(spark, exact_rows):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).cast("double").alias("x"))
-    rows = order_statistics(df, ["x"], [lambda n: F.lit(0), lambda n: n - 1, lambda n: F.floor(n * 0.8)], exact_rows=3, sort_bytes=limit).collect()
+    rows = order_statistics(df, ["x"], [lambda n: F.lit(0), lambda n: n - 1, lambda n: F.floor(n * 0.8)], exact_rows=exact_rows).collect()
     assert {r["pos"]: r["value"] for r in rows} == {0: 0.0, 1: 999.0, 2: 800.0}
 
 
@@ -62,7 +61,24 @@ def test_many_groups_far_apart(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"g": np.arange(1200) % 40})
     pdf["x"] = pdf.g * 1000.0 - 20000 + rng.normal(0, 1, len(pdf))
-    rows = quantiles(spark.createDataFrame(pdf), ["x"], [0.1, 0.5], ["g"], one_pass_bytes=0, exact_rows=3).collect()
+    rows = quantiles(spark.createDataFrame(pdf), ["x"], [0.1, 0.5], ["g"], exact_rows=3).collect()
     assert len(rows) == 40
     for r in rows:
         np.testing.assert_allclose(r["q"], pdf[pdf.g == r["g"]].x.quantile([0.1, 0.5]).to_numpy(), rtol=1e-12)
+
+
+def test_group_column_called_value_and_many_probabilities(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", float(-i)) for i in range(51)], "value string, x double")
+    probs = [i / 1000 for i in range(1001)]
+    got = {r["value"]: r["q"] for r in quantiles(df, ["x"], probs, ["value"], exact_rows=10).collect()}
+    np.testing.assert_allclose(got["a"], [p * 100 for p in probs], atol=1e-9)
+    np.testing.assert_allclose(got["b"], [p * 50 - 50 for p in probs], atol=1e-9)
+    with pytest.raises(ValueError):
+        quantiles(df.withColumnRenamed("value", "n"), ["x"], [0.5], ["n"])
+
+
+def test_bit_equal_over_partitionings_and_pass_sizes(spark, frame):
+    df = spark.createDataFrame(frame)
+    first = quantile_values(df, ["wide", "gappy"], PROBS)
+    for parts, rows in ((1, 1_000_000), (7, 50), (3, 2)):
+        assert quantile_values(df.repartition(parts), ["wide", "gappy"], PROBS, exact_rows=rows) == first
