@@ -74,8 +74,14 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: q[0] for c, q in quantile_values(df, columns, [0.5]).items()}
 
 
+def present(column: str) -> Column:
+    """The column as a double, NaN as missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def impute(df: DataFrame, fills: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in fills.items()})
+    return df.withColumns({c: F.coalesce(present(c), F.lit(m)) for c, m in fills.items()})
 
 
 def robust_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -93,7 +99,7 @@ def robust_scale(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFr
 def population_variances(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     if not columns:
         return {}
-    return df.agg(*[F.var_pop(c).alias(c) for c in columns]).first().asDict()
+    return df.agg(*[F.var_pop(present(c)).alias(c) for c in columns]).first().asDict()
 
 
 def varying_columns(df: DataFrame, columns: Sequence[str], threshold: float = VARIANCE_THRESHOLD) -> list[str]:

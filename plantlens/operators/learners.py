@@ -22,7 +22,8 @@ CLASSIFICATION_DRAWS = 10
 
 # Hyper-parameter grids.
 TREES = [100, 200, 300]
-FOREST_DEPTHS = [6, 8, 10]
+# Spark grows trees to depth 30 at most; that stands for unlimited depth.
+FOREST_DEPTHS = [6, 8, 10, 30]
 FOREST_FEATURES = ["0.5", "0.6", "0.8"]
 REGRESSION_LEAF = [5, 10, 20]
 CLASSIFICATION_LEAF = [10, 15, 25]

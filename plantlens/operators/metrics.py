@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.functions.scalar import CLASS_ORDER
-
 
 def r2_from(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """R² and MAE per group.
@@ -31,7 +29,8 @@ def r2_from(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def accuracy_from(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    hit = F.col(y).eqNullSafe(F.col(p)).cast("double")
+    """Share of rows whose prediction is the label; a missing label or prediction is a miss."""
+    hit = F.coalesce((F.col(y) == F.col(p)).cast("double"), F.lit(0.0))
     return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -40,14 +39,21 @@ def confusion_counts(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, y: str, p: str, labels: Sequence[str] | None = None) -> DataFrame:
-    """One row per true label, one column per predicted label, absent pairs 0, labels sorted."""
-    names = sorted(labels or CLASS_ORDER)
-    counts = confusion_counts(df, y, p)
-    pivoted = counts.groupBy("label").agg(
-        *[F.coalesce(F.sum(F.when(F.col("predicted") == c, F.col("n"))), F.lit(0)).cast("bigint").alias(c) for c in names]
-    )
+    """One row per true label, one column per predicted label, absent pairs 0, labels sorted.
+
+    Without ``labels`` the matrix has every label that is true or predicted somewhere; rows with a missing label or prediction
+    are in no cell. Given ``labels`` restrict it.
+    """
+    counts = confusion_counts(df, y, p).where("label is not null and predicted is not null")
+    if labels is None:
+        found = counts.select(F.explode(F.array(F.col("label").cast("string"), F.col("predicted").cast("string"))).alias("name")).distinct()
+        labels = [r["name"] for r in found.collect()]
+    names = sorted(labels)
+    cells = {c: F.sum(F.when(F.col("predicted").cast("string") == c, F.col("n"))) for c in names}
+    pivoted = counts.groupBy(F.col("label").cast("string").alias("true__")).agg(*[cells[c].alias(f"c{i}__") for i, c in enumerate(names)])
     domain = df.sparkSession.createDataFrame([(c,) for c in names], "label string")
-    return domain.join(pivoted, "label", "left").na.fill(0).orderBy("label")
+    full = domain.join(pivoted, F.col("label") == F.col("true__"), "left")
+    return full.select("label", *[F.coalesce(f"c{i}__", F.lit(0)).cast("bigint").alias(c) for i, c in enumerate(names)]).orderBy("label")
 
 
 def _ratio(a: Column, b: Column) -> Column:

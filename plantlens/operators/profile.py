@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from plantlens.functions.hashing import uniform
 from plantlens.functions.scalar import CLASS_ORDER
-from plantlens.operators.clean import FENCE_WIDTH
+from plantlens.operators.clean import FENCE_WIDTH, present
 from plantlens.operators.quantiles import quantile_values, quantiles
 from plantlens.session import settle
 from plantlens.sources.schemas import numeric_columns
@@ -115,9 +115,10 @@ def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | Non
     return one.unpivot([], names, "feature", "r").orderBy(F.abs("r"), "feature")
 
 
-def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot([F.col(k) for k in keep], list(columns), "feature", "value")
+def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), feature: str = "feature", value: str = "value") -> DataFrame:
+    """Long form; NaN becomes NULL."""
+    wide = df.select(*keep, *[present(c).alias(c) for c in columns])
+    return wide.unpivot([F.col(k) for k in keep], list(columns), feature, value)
 
 
 def _boxes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -134,7 +135,7 @@ def _boxes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[Da
             (q3 + FENCE_WIDTH * (q3 - q1)).alias("upper_fence"),
         )
     )
-    on = F.col("feature") == F.col("feature__g")
+    on = F.col("feature__") == F.col("feature__g")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"{b}__g"))
     return boxes, on
@@ -143,26 +144,24 @@ def _boxes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> tuple[Da
 def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (extreme values inside the fences) and outlier counts per group."""
     boxes, on = _boxes(df, columns, by)
-    inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
-    return (
-        melt(df, columns, by)
-        .where(F.col("value").isNotNull())
-        .join(boxes, on)
-        .groupBy(*by, "feature", "q1", "median", "q3")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
-            F.count("*").alias("n"),
-        )
-    )
+    value = F.col("value__")
+    inside = value.between(F.col("lower_fence"), F.col("upper_fence"))
+    found = melt(df, columns, by, "feature__", "value__").where(value.isNotNull()).join(boxes, on).groupBy(*by, "feature__", "q1", "median", "q3")
+    return found.agg(
+        F.min(F.when(inside, value)).alias("whisker_low"),
+        F.max(F.when(inside, value)).alias("whisker_high"),
+        F.count_if(~inside).alias("n_outliers"),
+        F.count("*").alias("n"),
+    ).withColumnRenamed("feature__", "feature")
 
 
 def box_outliers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The values outside the fences, with their key columns."""
     boxes, on = _boxes(df, columns, by)
-    beyond = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    return melt(df, columns, [*by, *keep]).join(boxes, on & beyond).select(*by, *keep, "feature", "value")
+    value = F.col("value__")
+    beyond = (value < F.col("lower_fence")) | (value > F.col("upper_fence"))
+    long = melt(df, columns, [*by, *keep], "feature__", "value__").join(boxes, on & beyond)
+    return long.select(*by, *keep, F.col("feature__").alias("feature"), value.alias("value"))
 
 
 def scatter_sample(df: DataFrame, columns: Sequence[str], key: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:

@@ -213,9 +213,10 @@ def crowding_distance(
     """Adds ``crowding``: per cost the gap between a row's sorted neighbours over the cost's span, summed.
 
     The two end rows of each cost are infinite, equal values are ordered by key. Runs of equal
-    values collapse to one row (count, first and last key) before any window.
+    values collapse to one row (count, first and last key) before any window. A row with a
+    missing (NULL or NaN) cost has no neighbours: its distance is 0, and the others do not see it.
     """
-    long = front.select(F.col(key).alias("key__"), *[F.col(c).cast("double").alias(c) for c in costs]).unpivot(
+    long = front.where(_comparable(costs)).select(F.col(key).alias("key__"), *[F.col(c).cast("double").alias(c) for c in costs]).unpivot(
         ["key__"], list(costs), "objective", "value"
     )
     ties = cut(
@@ -225,7 +226,7 @@ def crowding_distance(
         F.min("value").alias("lowest"), F.max("value").alias("highest"), F.count("*").alias("n_values")
     )
     spans, rows = settle(spans)
-    most = max((r["n_values"] for r in rows), default=0)
+    most = max((r["n_values"] for r in rows or ()), default=0)
     near = _neighbours(ties, window_rows, most).join(spans.drop("n_values"), "objective")
     near = near.select(
         F.col("objective").alias("o__"), F.col("value").alias("v__"), "first_key", "last_key", "before", "after", "lowest", "highest"
@@ -241,7 +242,8 @@ def crowding_distance(
         .groupBy("key__")
         .agg(F.sum("gap").alias("crowding"))
     )
-    return front.join(distances, F.col(key) == F.col("key__")).drop("key__")
+    joined = front.join(distances.withColumnRenamed("crowding", "crowding__"), F.col(key) == F.col("key__"), "left")
+    return joined.withColumn("crowding", F.coalesce("crowding__", F.lit(0.0))).drop("key__", "crowding__")
 
 
 def most_spread(front: DataFrame, key: str, k: int = 20) -> DataFrame:

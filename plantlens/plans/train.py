@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from plantlens.functions.features import add_features, add_missing_indicators, temperature_mean
 from plantlens.operators import metrics
@@ -100,8 +101,11 @@ def cross_validate(
     def without(fold: int) -> DataFrame:
         return folded.where(F.col("fold") != fold)
 
-    with ThreadPoolExecutor(max_workers=PARALLEL) as pool:
-        preps = list(pool.map(lambda fold: Pipeline(stages=preparation(excluded)).fit(without(fold)), range(folds)))
+    try:
+        with ThreadPoolExecutor(max_workers=PARALLEL) as pool:
+            preps = list(pool.map(lambda fold: Pipeline(stages=preparation(excluded)).fit(without(fold)), range(folds)))
+    except Exception as error:  # no candidate can be fitted without its preparation
+        return {}, {c.name: _message(error) for c in candidates}
     for fold, prep in enumerate(preps):
         part = without(fold)
         fit_on = prep.transform(part).select("label", "features").coalesce(tasks).persist()
@@ -117,7 +121,7 @@ def cross_validate(
             jobs = {c.name: pool.submit(run, c) for c in candidates if c.name not in failed}
             for name, job in jobs.items():
                 if (error := job.exception()) is not None:
-                    failed[name] = str(error).splitlines()[0]
+                    failed[name] = _message(error)
         fit_on.unpersist()
         check_on.unpersist()
     best = {}
@@ -129,6 +133,11 @@ def cross_validate(
     return best, failed
 
 
+def _message(error: BaseException) -> str:
+    """First line of an error's text, or its kind where it has none."""
+    return next(iter(str(error).splitlines()), "") or type(error).__name__
+
+
 def _facts(prepared: DataFrame, n_classes: int) -> FitFacts:
     row = prepared.agg(F.count("*"), F.stddev_pop("label")).first()
     return FitFacts(int(row[0]), float(row[1] or 0.0), len(prepared.select("features").first()[0]), n_classes)
@@ -145,9 +154,10 @@ def train(
 ) -> tuple[Trained | None, DataFrame, list[tuple[str, float | None, str, str | None]]]:
     """Race the candidates and refit the winner; the table comes back with its ``split`` column.
 
+    A numeric target is a regression, any other one a classification (cast a numeric class to text).
     The first element is ``None`` when every candidate failed.
     """
-    regression = target == "energy"
+    regression = isinstance(df.schema[target].dataType, NumericType)
     if candidates is None:
         candidates = regression_candidates() if regression else classification_candidates()
     if draws is None:
