@@ -10,7 +10,8 @@ from plantlens.functions.vectors import dot, l2_normalise
 from plantlens.operators import search
 from plantlens.operators.embed import embed_column, hashing_embedder
 from plantlens.session import scratch_path
-from plantlens.sources.index import build_index, read_index, remove_document, split_new
+from plantlens.sources.documents import document_chunks
+from plantlens.sources.index import build_index, ingest, read_documents, read_index, remove_document, split_new
 
 WS = txt.WHITE_SPACE
 DIM = 256
@@ -101,6 +102,37 @@ def index_without_document(spark, sf):
     return read_index(spark, path).groupBy("source").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH d AS (SELECT * FROM {NAMED}), one AS (SELECT source, min(doc_id) AS doc_id FROM d WHERE doc_id % 3 = 0 GROUP BY 1),
+    two AS (SELECT source, min(doc_id) AS doc_id FROM d WHERE source NOT IN (SELECT source FROM one) GROUP BY 1),
+    kept AS (SELECT * FROM one WHERE source <> 'src3_en.pdf' UNION ALL SELECT * FROM two WHERE source <> 'src3_en.pdf'
+      UNION ALL SELECT 'src3_en.pdf', min(doc_id) FROM d WHERE source = 'src3_en.pdf')
+    SELECT k.source, k.doc_id, count(l.chunk) AS n FROM kept k LEFT JOIN {_lines(NAMED, 'doc_id, source')} l ON l.doc_id = k.doc_id AND l.source = k.source GROUP BY 1, 2"""
+)
+def ingest_batches(spark, sf):
+    """The real ingest: an upload of some documents, one of all, then a removal and a new upload of the removed name."""
+    docs, path = _named_docs(spark, sf), scratch_path(spark, "ingested")
+    ingest(docs.where("doc_id % 3 = 0"), path, hashing_embedder(DIM))
+    ingest(docs, path, hashing_embedder(DIM))
+    remove_document(spark, path, "src3_en.pdf")
+    ingest(docs.where("source = 'src3_en.pdf'"), path, hashing_embedder(DIM))
+    chunks = read_index(spark, path).groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
+    known = read_documents(spark, path)
+    return known.join(chunks, F.col("source") == F.col("s"), "left").select("source", "doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    f"""SELECT conv_id * 2147483648 + line AS chunk_id, 'conversation ' || conv_id AS source, chunk FROM {_lines(
+        "(SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)", 'conv_id')}"""
+)
+def paged_chunk_ids(spark, sf):
+    """Turns as pages of a document: ids and order are those of the joined text."""
+    pages = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.concat(F.lit("conversation "), F.col("conv_id")).alias("source"), F.col("turn").alias("page"), "text"
+    )
+    return document_chunks(pages)
+
+
 WORDS = """(SELECT {key}, ('0x' || substr(md5(word), 1, 6))::BIGINT % {dim} AS bucket, count(*)::DOUBLE AS tf
     FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS word FROM {rows}) GROUP BY 1, 2)"""
 
@@ -111,7 +143,7 @@ def _unit(rows: str, key: str, text: str) -> str:
     return f"""(SELECT {key}, bucket, (tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS x FROM {words})"""
 
 
-CHUNKS_SQL = f"(SELECT doc_id * 16777216 + line AS chunk_id, source, chunk FROM {_lines(NAMED, 'doc_id, source')})"
+CHUNKS_SQL = f"(SELECT doc_id * 2147483648 + line AS chunk_id, source, chunk FROM {_lines(NAMED, 'doc_id, source')})"
 SIX = "floor((sum(c.x * q.x)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
 

@@ -1,5 +1,7 @@
 """The chunk table behind document search: parquet, appended in batches, removals kept aside.
 
+A table of documents stands beside the chunks, so that a document without any chunk is known too.
+
 Rows are range-partitioned by (source, chunk_id): a large document spreads over many files,
 and a search restricted to a few documents skips the other files by their value ranges.
 """
@@ -32,21 +34,37 @@ def index_exists(spark: SparkSession, path: str) -> bool:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
     """Current chunks (``chunk_id, source, chunk, vec``), ``None`` when nothing was built."""
-    chunks = _read(spark, f"{path}/chunks")
-    if chunks is None:
-        return None
+    chunks = _current(spark, path, "chunks")
+    return None if chunks is None else chunks.select("chunk_id", "source", "chunk", "vec")
+
+
+def _current(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+    """Rows of a table that no later removal hides, ``None`` when nothing was built."""
+    rows = _read(spark, f"{path}/{table}")
     removed = _read(spark, f"{path}/removed")
-    if removed is not None:
-        gone = removed.groupBy(F.col("source").alias("gone")).agg(F.max("before_batch").alias("before_batch"))
-        on = (F.col("source") == F.col("gone")) & (F.col("batch") < F.col("before_batch"))
-        chunks = chunks.join(gone, on, "left_anti")
-    return chunks.select("chunk_id", "source", "chunk", "vec")
+    if rows is None or removed is None:
+        return rows
+    gone = removed.groupBy(F.col("source").alias("gone")).agg(F.max("before_batch").alias("before_batch"))
+    return rows.join(gone, (F.col("source") == F.col("gone")) & (F.col("batch") < F.col("before_batch")), "left_anti")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame | None:
+    """Current documents (``source, doc_id``), with or without chunks."""
+    rows = _current(spark, path, "documents")
+    return None if rows is None else rows.select("source", "doc_id")
 
 
 def _next_batch(spark: SparkSession, path: str) -> int:
-    chunks = _read(spark, f"{path}/chunks")
-    last = chunks.agg(F.max("batch")).first()[0] if chunks is not None else None
-    return 0 if last is None else int(last) + 1
+    last = -1
+    for name in ("chunks", "documents"):
+        rows = _read(spark, f"{path}/{name}")
+        found = rows.agg(F.max("batch")).first()[0] if rows is not None else None
+        last = max(last, -1 if found is None else int(found))
+    return last + 1
+
+
+def _record(docs: DataFrame, path: str, batch: int, mode: str) -> None:
+    docs.select("source", "doc_id").distinct().withColumn("batch", F.lit(batch)).write.mode(mode).parquet(f"{path}/documents")
 
 
 def _write(docs: DataFrame, path: str, embedder: Embedder, batch: int, mode: str) -> bool:
@@ -68,6 +86,7 @@ def build_index(docs: DataFrame, path: str, embedder: Embedder) -> bool:
     spark = docs.sparkSession
     if not _write(docs, path, embedder, 0, "overwrite"):
         return False
+    _record(docs, path, 0, "overwrite")
     spark.createDataFrame([], REMOVED_SCHEMA).write.mode("overwrite").parquet(f"{path}/removed")
     return True
 
@@ -75,22 +94,25 @@ def build_index(docs: DataFrame, path: str, embedder: Embedder) -> bool:
 def ingest(docs: DataFrame, path: str, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
     """Add documents whose name is new; returns the saved and the skipped (source, doc_id) rows.
 
-    Within one upload the smallest doc_id of a name is saved, its later copies are skipped.
+    Within one upload the smallest doc_id of a name is saved with all of its rows (pages), other documents of that name are
+    skipped. A saved document is known by name from then on, even if no line of it is long enough for a chunk.
     """
     spark = docs.sparkSession
-    saved, skipped = split_new(docs, read_index(spark, path))
+    saved, skipped = split_new(docs, read_documents(spark, path))
     saved, skipped = cut(saved), cut(skipped)
+    batch = _next_batch(spark, path)
     fresh = docs.join(saved, ["source", "doc_id"], "left_semi")
-    _write(fresh, path, embedder, _next_batch(spark, path), "append")
+    _write(fresh, path, embedder, batch, "append")
+    _record(saved, path, batch, "append")
     return saved, skipped
 
 
 def split_new(docs: DataFrame, existing: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Uploads to save and to skip, decided by name. Names are aggregated before any join."""
+    """Documents to save and to skip, one row each, decided by name. Names are aggregated before any join."""
     names = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
     if existing is not None:
         names = names.join(existing.select("source").distinct(), "source", "left_anti")
-    skipped = docs.select("source", "doc_id").join(names, ["source", "doc_id"], "left_anti")
+    skipped = docs.select("source", "doc_id").distinct().join(names, ["source", "doc_id"], "left_anti")
     return names, skipped
 
 

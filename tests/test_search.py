@@ -193,3 +193,18 @@ def test_index_life_cycle(spark, tmp_path):
     assert search.answerable(read_index(spark, path)) and not search.answerable(None)
     ids = [r[0] for r in document_chunks(frame).select("chunk_id").collect()]
     assert len(ids) == len(set(ids)) == 3
+
+
+def test_pages_and_chunkless_documents(spark, tmp_path):
+    path, line = str(tmp_path / "kb"), "a line that is long enough to become a chunk of its own"
+    embed = hashing_embedder(16)
+    pages = spark.createDataFrame(
+        [(1, "a.pdf", 0, f"{line} one\nshort"), (1, "a.pdf", 1, None), (1, "a.pdf", 2, f"\n{line} two"), (2, "b.pdf", 0, "short")],
+        "doc_id bigint, source string, page int, text string",
+    )
+    saved, skipped = ingest(pages, path, embed)
+    assert sorted(tuple(r) for r in saved.collect()) == [("a.pdf", 1), ("b.pdf", 2)] and skipped.count() == 0
+    chunks = {r["chunk"]: r["chunk_id"] - (1 << 31) for r in read_index(spark, path).collect()}
+    assert chunks == {f"{line} one": 0, f"{line} two": 4}
+    saved, skipped = ingest(pages, path, embed)
+    assert saved.count() == 0 and sorted(tuple(r) for r in skipped.collect()) == [("a.pdf", 1), ("b.pdf", 2)]
