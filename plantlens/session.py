@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,11 +28,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "pla
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
-    return (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
-        .getOrCreate()
-    )
+    spark = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).config("spark.driver.memory", "16g").getOrCreate()
+    importable(spark)
+    return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package from its own folder, wherever the driver was started.
+
+    Enough for local mode and for a folder that all machines see; else ship the package with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
 def shared_dir(spark: SparkSession) -> str:
