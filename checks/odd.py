@@ -9,6 +9,7 @@ from checks.base import query, r4, s4, table
 from checks.tables import _box, _box_sql, _split_sql
 from plantlens.functions import scalar
 from plantlens.operators import clean, metrics, profile, quantiles, skyline, splits
+from plantlens.plans.importance import shuffled_features
 
 STATUS_SQL = """(SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderstatus END AS y,
     CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 10 = 0 THEN 'X' WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS p FROM orders)"""
@@ -129,3 +130,17 @@ def floor_below(spark, sf):
     """Values on both sides of the floor of 0.01."""
     x = F.col("l_quantity") / F.lit(1000.0) - F.lit(0.02)
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalar.floor_prediction(x).alias("floored"))
+
+
+SHUFFLE_HASH = "('0x' || substr(md5('42-0-' || o_orderkey::VARCHAR), 1, 13))::BIGINT"
+
+
+@query(
+    f"""SELECT o_orderkey, coalesce(lead(o_totalprice) OVER (ORDER BY {SHUFFLE_HASH}, o_orderkey), first_value(o_totalprice) OVER (ORDER BY {SHUFFLE_HASH}, o_orderkey)
+    ) AS last_or_next FROM orders"""
+)
+def permuted_prices(spark, sf):
+    """The permutation behind importances: each row takes the price of the next one in hash order, over 15 buckets."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    moved = shuffled_features(orders, ["o_totalprice"], "o_orderkey", repeats=1, bucket_rows=1000)
+    return moved.select("o_orderkey", F.col("o_totalprice").alias("last_or_next"))

@@ -16,6 +16,9 @@ from plantlens.operators.embed import Embedder, embed_column
 from plantlens.session import cut
 from plantlens.sources.documents import document_chunks
 
+# Chunks in one file of the index.
+CHUNKS_PER_FILE = 50_000
+
 REMOVED_SCHEMA = "source string, before_batch int"
 
 
@@ -68,11 +71,12 @@ def _record(docs: DataFrame, path: str, batch: int, mode: str) -> None:
 
 
 def _write(docs: DataFrame, path: str, embedder: Embedder, batch: int, mode: str) -> bool:
-    chunks = document_chunks(docs)
-    if not chunks.limit(1).count():
+    # Chunked once and written; counting and range sampling read the written rows.
+    chunks = cut(document_chunks(docs))
+    n = chunks.count()
+    if not n:
         return False
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = chunks.repartitionByRange(tasks, "source", "chunk_id").sortWithinPartitions("source", "chunk_id")
+    placed = chunks.repartitionByRange(-(-n // CHUNKS_PER_FILE), "source", "chunk_id").sortWithinPartitions("source", "chunk_id")
     vectors = embed_column(placed, "chunk", embedder).withColumn("batch", F.lit(batch))
     vectors.write.mode(mode).partitionBy("batch").parquet(f"{path}/chunks")
     return True

@@ -81,6 +81,9 @@ def test_shuffle_is_a_permutation_without_fixed_rows(spark):
     df = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 1.0).alias("a"), (F.col("id") * 10.0).alias("b"), F.lit(1).alias("y"))
     out = importance.shuffled_features(df, ["a", "b"], "k", repeats=3, bucket_rows=25).toPandas()
     assert len(out) == 60 * 3 * 2
+    order = ["feature", "repeat", "k"]
+    whole = importance.shuffled_features(df, ["a", "b"], "k", repeats=3).toPandas()
+    assert out.sort_values(order).reset_index(drop=True).equals(whole[out.columns].sort_values(order).reset_index(drop=True))
     for (feature, _), part in out.groupby(["feature", "repeat"]):
         factor, other, by = (1, "b", 10) if feature == "a" else (10, "a", 1)
         assert sorted(part[feature]) == [i * factor for i in range(60)]
