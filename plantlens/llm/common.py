@@ -66,6 +66,64 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+SPACE_BYTES = np.zeros(256, dtype=bool)
+SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
+#: Odd multiplier of the rolling hash, and its inverse modulo 2^64.
+ROLL = 0x9E3779B97F4A7C13
+UNROLL = pow(ROLL, -1, 1 << 64)
+END_HASH = np.uint64(0x243F6A8885A308D3)
+
+
+class Words:
+    """Words of a run of texts as arrays: hashes, places in the joined lower-case bytes, and how many each text has."""
+
+    powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __init__(self, texts: list[str | None] | list[bytes]):
+        parts = [(t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")).lower() for t in texts]
+        self.data = b"\n".join([*parts, b""])
+        codes = np.frombuffer(self.data, np.uint8)
+        space = SPACE_BYTES[codes]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(space) and not space[0]:
+            edge = np.concatenate([[0], edge])
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
+        self.counts = np.diff(np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)])))
+        self.hashes = self._hash(codes)
+
+    def _hash(self, codes: np.ndarray, span: int = 1 << 21) -> np.ndarray:
+        """A polynomial over random values of the bytes, from differences of its running sum; scrambled with the length.
+
+        Stretches of about ``span`` bytes are summed at a time; where a word stands has no part in its hash.
+        """
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        first = 0
+        while first < len(out):
+            stop = max(first + 1, int(np.searchsorted(self.ends, self.starts[first] + span, side="right")))
+            low = self.starts[first]
+            starts, ends = self.starts[first:stop] - low, self.ends[first:stop] - low
+            up, down = Words._powers(int(ends[-1]))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[codes[low : low + ends[-1]]] * up)])
+            out[first:stop] = (total[ends] - total[starts]) * down[starts]
+            first = stop
+        return mix(out + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+    @staticmethod
+    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the multiplier and of its inverse; kept for spans of ordinary length."""
+        if len(Words.powers[0]) < n:
+            size = max(n, 1 << 21)
+            made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, m, np.uint64)])) for m in (ROLL, UNROLL))
+            if size > 1 << 22:
+                return made[0][:n], made[1][:n]
+            Words.powers = made
+        return Words.powers[0][:n], Words.powers[1][:n]
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]]
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (multiply and xor-shift)."""
     x = values ^ (values >> np.uint64(31))
@@ -75,6 +133,9 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of a sequence extended by one word."""
     return mix(left * np.uint64(0xD6E8FEB86659FD93) + right)

@@ -74,3 +74,20 @@ def test_empty_tables(spark):
     docs = documents(spark).withColumn("held_out", F.lit(True))
     alone = lm_score.lm_scores(docs, docs.where("false"))
     assert alone.where("n_known > 0 or train_tokens > 0").count() == 0 and alone.count() == docs.count()
+
+
+def test_words_as_arrays_equal_split_words():
+    import random
+
+    from plantlens.llm.common import Words, words_of
+
+    rng = random.Random(1)
+    for _ in range(200):
+        texts = ["".join(rng.choice(["a", "B", " ", "\n", "é", "\t", "x", "😀", "\r\n", "\x1c", "\x85", "\x0b"]) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6))]
+        texts += [None] * rng.randint(0, 2)
+        words, want = Words(texts), [words_of(t or "") for t in texts]
+        flat = [w for x in want for w in x]
+        assert words.counts.tolist() == [len(x) for x in want] and [words.word(i) for i in range(len(flat))] == flat
+        seen = {}
+        assert all(seen.setdefault(w, h) == h for w, h in zip(flat, words.hashes.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+        assert (words._hash(np.frombuffer(words.data, np.uint8), span=5) == words.hashes).all()
