@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import WordHashes, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
+from plantlens.llm.common import END_HASH, Words, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
 from plantlens.llm.log_filter import PACKED, Filter, build_filter, packed
 from plantlens.session import cut
 
@@ -53,15 +53,16 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(schema, [list(seen), list(seen.values())])
 
 
-def padded(texts: list[str | None], order: int, known: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Word lists, their hashes with ``order - 1`` start marks before each text and its end after it, and text lengths."""
-    lists = [words_of(t or "") for t in texts]
-    pieces = []
-    lead = np.full(order - 1, START_HASH, dtype=np.uint64)
-    tail = known.of([END])
-    for words in lists:
-        pieces += [lead, known.of(words), tail]
-    return lists, np.concatenate(pieces), np.array([len(w) + order for w in lists], dtype=np.int64)
+def padded(texts: list[str | None], order: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, their hashes with ``order - 1`` start marks before each text and its end after it, and text lengths."""
+    words = Words(texts)
+    lengths = words.counts + order
+    stops = np.cumsum(lengths)
+    hashes = np.full(int(stops[-1]) if len(stops) else 0, START_HASH, dtype=np.uint64)
+    text = np.repeat(np.arange(len(lengths)), words.counts)
+    hashes[np.arange(len(words.hashes)) + text * order + order - 1] = words.hashes
+    hashes[stops - 1] = END_HASH
+    return words, hashes, lengths
 
 
 def windows(hashes: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
@@ -80,10 +81,10 @@ def count_ngrams(order: int, bucket_bits: int):
     """Task-side n-gram counts, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, size = WordHashes(), [], 0
+        parts, size = [], 0
         for batch in batches:
             for _, texts in text_runs(batch.column(0), 1_500_000):
-                _, hashes, lengths = padded(texts, order, known)
+                _, hashes, lengths = padded(texts, order)
                 for w in windows(hashes, lengths, order):
                     w = w[w != 0]
                     parts.append(w)
@@ -134,7 +135,9 @@ def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS,
     total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     words, tokens, single = int(total[0]), int(total[1]), int(total[2])
     top = counts.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
-    hashes = WordHashes(head_words).of(top.column("word").to_pylist())
+    frequent = top.column("word").to_pylist()
+    hashes = np.full(len(frequent), END_HASH, dtype=np.uint64)
+    hashes[[w != END for w in frequent]] = Words([w for w in frequent if w != END]).hashes
     by_hash = np.argsort(hashes)
     head = (hashes[by_hash], top.column("n").to_numpy()[by_hash].astype(np.float64))
     bits = power_of_two(BITS_PER_TOKEN * max(order, 1) / 2 * tokens, MIN_BITS, max_bits)
@@ -152,23 +155,22 @@ def score_batches(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        known = WordHashes()
         all_rest = math.log10(model.tokens + model.words + 1)
         for batch in batches:
             ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for s, texts in text_runs(batch.column(1), 2_000_000):
-                lists, hashes, lengths = padded(texts, model.order, known)
+                words, hashes, lengths = padded(texts, model.order)
                 distinct, back = np.unique(hashes, return_inverse=True)
                 log_p = model.log_probabilities(hashes, lengths, distinct, back)
                 exact = model.head_counts(distinct)
                 frequent, base = (exact > 0)[back], np.where(exact > 0, np.log10(exact + 1), 0.0)[back]
-                stops = np.cumsum(lengths)
-                rows = []
-                for words, stop in zip(lists, stops.tolist(), strict=True):
-                    words.append(END)
-                    own = slice(stop - len(words), stop)
-                    rare = Counter([words[i] for i in np.flatnonzero(~frequent[own]).tolist()])
-                    rows.append((len(words), int(frequent[own].sum()), float(base[own].sum()) - len(words) * all_rest, float(log_p[own].sum()), list(rare), list(rare.values())))
+                rows, first = [], 0
+                for n, stop in zip(words.counts.tolist(), np.cumsum(lengths).tolist(), strict=True):
+                    own = slice(stop - n - 1, stop)
+                    at = np.flatnonzero(~frequent[own]).tolist()
+                    rare = Counter([words.word(first + i) if i < n else END for i in at])
+                    rows.append((n + 1, n + 1 - len(at), float(base[own].sum()) - (n + 1) * all_rest, float(log_p[own].sum()), list(rare), list(rare.values())))
+                    first += n
                 yield record_batch(schema, [ids[s], held[s], *map(list, zip(*rows, strict=True))])
 
     return run
