@@ -4,9 +4,10 @@ N-gram counts of the whole training part are put in logarithmic classes; an n-gr
 the filter q times, as (n-gram, 1) ... (n-gram, q). A count is read by probing (n-gram, 1), (n-gram, 2), ...
 until a probe fails, so it can only be read too high, with a probability that falls geometrically.
 The filter is built bucket by bucket in tasks (a bucket of the hash space is a section of the
-filter) and broadcast; its size follows the number of training tokens up to ``max_bits``. Beyond that the lowest class
-starts at a higher count: entries number at most 4/3 of tokens / floor for each n-gram length, so the load of the
-filter has a proven bound at every size.
+filter); its size follows the number of training tokens, so its load has a proven bound at every size (entries number at
+most 4/3 of tokens for each n-gram length). Up to ``max_bits`` it is broadcast. A larger one is never put together: the distinct n-grams of
+each run of texts go to the tasks of their buckets, each section is made and probed there, and the classes go back to the run. Both ways
+read the same sections, so scores do not depend on the way.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm.common import END_HASH, Words, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
-from plantlens.llm.log_filter import PACKED, Filter, build_filter, packed
+from plantlens.llm.log_filter import PACKED, Filter, build_filter, by_bucket, class_counts, packed, probe_section
 from plantlens.session import cut
 
 ORDER = 2
@@ -98,10 +99,24 @@ def count_ngrams(order: int, bucket_bits: int):
     return run
 
 
+class Read:
+    """Counts of a run's n-grams that were read in the tasks of their buckets."""
+
+    def __init__(self, grams: np.ndarray, levels: np.ndarray):
+        self.grams, self.levels = grams, levels
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        """Counts of n-grams of the run; 0 where the hash is 0."""
+        if len(self.grams) == 0:
+            return np.zeros(len(grams))
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, class_counts(1)[self.levels[at]], 0.0)
+
+
 class Model:
-    """Filter, totals and the counts of the most frequent words (by sorted word hash)."""
+    """Filter (none if it is too large to travel), totals and the counts of the most frequent words (by sorted word hash)."""
 
-    def __init__(self, filter_: Filter, order: int, tokens: int, words: int, unseen: float, head: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, filter_: Filter | None, order: int, tokens: int, words: int, unseen: float, head: tuple[np.ndarray, np.ndarray]):
         self.filter, self.order, self.tokens, self.words, self.unseen, self.head = filter_, order, tokens, words, unseen, head
 
     def head_counts(self, hashes: np.ndarray) -> np.ndarray:
@@ -112,15 +127,15 @@ class Model:
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         return np.where(known[at] == hashes, counts[at], 0)
 
-    def log_probabilities(self, hashes: np.ndarray, lengths: np.ndarray, distinct: np.ndarray, back: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, filter_: Filter | Read, hashes: np.ndarray, lengths: np.ndarray, distinct: np.ndarray, back: np.ndarray) -> np.ndarray:
         """log10 of each position's probability: n-gram shares mixed with the next shorter ones, down to words."""
         grams = windows(hashes, lengths, self.order)
-        words = self.filter.counts(distinct ^ np.uint64(ORDER_SALT))[back]
+        words = filter_.counts(distinct ^ np.uint64(ORDER_SALT))[back]
         p = np.where(words > 0, (1 - self.unseen) * words / max(self.tokens, 1), self.unseen)
         context = words
         for k in range(1, self.order):
             before = np.concatenate([[0.0], context[:-1]])
-            seen = self.filter.counts(np.where(before > 0, grams[k], np.uint64(0)))
+            seen = filter_.counts(np.where(before > 0, grams[k], np.uint64(0)))
             weight = TRUST * before / (before + HALF)
             share = np.minimum(seen / np.maximum(before, 1.0), 1.0)
             p = np.where(before > 0, weight * share + (1 - weight) * p, p)
@@ -128,9 +143,8 @@ class Model:
         return np.log10(np.maximum(p, 1e-300))
 
 
-def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
-    """Model of a one-column table of texts, and its exact word counts ``(word, n)`` as a written table."""
-    spark = texts.sparkSession
+def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, tuple[DataFrame, int, int]]:
+    """Model of a one-column table of texts, its exact word counts ``(word, n)`` as a written table, and packed n-gram counts with the filter's bits and bucket bits."""
     counts = cut(texts.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     words, tokens, single = int(total[0]), int(total[1]), int(total[2])
@@ -140,42 +154,99 @@ def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS,
     hashes[[w != END for w in frequent]] = Words([w for w in frequent if w != END]).hashes
     by_hash = np.argsort(hashes)
     head = (hashes[by_hash], top.column("n").to_numpy()[by_hash].astype(np.float64))
-    bits = power_of_two(BITS_PER_TOKEN * max(order, 1) / 2 * tokens, MIN_BITS, max_bits)
-    floor = max(1, math.ceil(BITS_PER_TOKEN * order / 2 * tokens / max_bits))
+    bits = power_of_two(BITS_PER_TOKEN * max(order, 1) / 2 * tokens, MIN_BITS, 1 << 60)
     bucket_bits = power_of_two(order * tokens / BUCKET_TOKENS, 1, bits >> 13).bit_length() - 1
-    filter_ = build_filter(texts.mapInArrow(count_ngrams(order, bucket_bits), PACKED), bits, bucket_bits, floor)
-    low = counts.where(F.col("n") < floor).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if floor > 1 else 0
-    unseen = min(0.5, max(single, int(low), 1) / max(tokens, 2))
-    return Model(filter_, order, tokens, words, unseen, head), counts
+    grams = texts.mapInArrow(count_ngrams(order, bucket_bits), PACKED)
+    filter_ = build_filter(grams, bits, bucket_bits, 1) if bits <= max_bits else None
+    unseen = min(0.5, max(single, 1) / max(tokens, 2))
+    return Model(filter_, order, tokens, words, unseen, head), counts, (grams, bits, bucket_bits)
 
 
-def score_batches(shared):
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<binary>, times array<long>"
+
+
+def score_run(model: Model, filter_: Filter | Read, ids: list, held: list, words: Words, hashes: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()),
                         ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
+    all_rest = math.log10(model.tokens + model.words + 1)
+    distinct, back = np.unique(hashes, return_inverse=True)
+    log_p = model.log_probabilities(filter_, hashes, lengths, distinct, back)
+    exact = model.head_counts(distinct)
+    frequent, base = (exact > 0)[back], np.where(exact > 0, np.log10(exact + 1), 0.0)[back]
+    rows, first = [], 0
+    for n, stop in zip(words.counts.tolist(), np.cumsum(lengths).tolist(), strict=True):
+        own = slice(stop - n - 1, stop)
+        at = np.flatnonzero(~frequent[own]).tolist()
+        rare = Counter([words.word(first + i) if i < n else END for i in at])
+        rows.append((n + 1, n + 1 - len(at), float(base[own].sum()) - (n + 1) * all_rest, float(log_p[own].sum()), list(rare), list(rare.values())))
+        first += n
+    return record_batch(schema, [ids, held, *map(list, zip(*rows, strict=True))])
+
 
+def score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        all_rest = math.log10(model.tokens + model.words + 1)
         for batch in batches:
             ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for s, texts in text_runs(batch.column(1), 2_000_000):
-                words, hashes, lengths = padded(texts, model.order)
-                distinct, back = np.unique(hashes, return_inverse=True)
-                log_p = model.log_probabilities(hashes, lengths, distinct, back)
-                exact = model.head_counts(distinct)
-                frequent, base = (exact > 0)[back], np.where(exact > 0, np.log10(exact + 1), 0.0)[back]
-                rows, first = [], 0
-                for n, stop in zip(words.counts.tolist(), np.cumsum(lengths).tolist(), strict=True):
-                    own = slice(stop - n - 1, stop)
-                    at = np.flatnonzero(~frequent[own]).tolist()
-                    rare = Counter([words.word(first + i) if i < n else END for i in at])
-                    rows.append((n + 1, n + 1 - len(at), float(base[own].sum()) - (n + 1) * all_rest, float(log_p[own].sum()), list(rare), list(rare.values())))
-                    first += n
-                yield record_batch(schema, [ids[s], held[s], *map(list, zip(*rows, strict=True))])
+                yield score_run(model, model.filter, ids[s], held[s], *padded(texts, model.order))
 
     return run
 
 
+def as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as runs of texts, one row each."""
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
+    for batch in batches:
+        ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for s, texts in text_runs(batch.column(1), 2_000_000):
+            yield record_batch(schema, [[ids[s]], [held[s]], [texts]])
+
+
+def grams_of(hashes: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
+    """Distinct n-grams of a run, in order."""
+    grams = np.unique(np.concatenate(windows(hashes, lengths, order)))
+    return grams[grams != 0]
+
+
+def asked_grams(order: int, bucket_bits: int):
+    """The distinct n-grams of each run, by bucket."""
+    schema = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, texts in zip(batch.column(0), batch.column(1), strict=True):
+                _, hashes, lengths = padded(texts.as_py(), order)
+                full, parts = by_bucket(grams_of(hashes, lengths, order), bucket_bits)
+                yield record_batch(schema, [[k.as_py()] * len(full), full, [p.tobytes() for p in parts]])
+
+    return run
+
+
+def score_runs(shared):
+    """Scores of runs that carry the classes of their n-grams, as (bucket, classes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            for ids, held, texts, read in zip(*batch.columns, strict=True):
+                words, hashes, lengths = padded(texts.as_py(), model.order)
+                levels = b"".join(r["levels"] for r in sorted(read.as_py(), key=lambda r: r["bucket"]))
+                filter_ = Read(grams_of(hashes, lengths, model.order), np.frombuffer(levels, np.uint8))
+                yield score_run(model, filter_, ids.as_py(), held.as_py(), words, hashes, lengths)
+
+    return run
+
+
+def scores_by_section(rows: DataFrame, shared, order: int, grams: DataFrame, bits: int, bucket_bits: int) -> DataFrame:
+    """Scores by a filter that is too large to travel: n-grams go to the sections and their classes come back."""
+    runs = cut(rows.mapInArrow(as_runs, "ids array<long>, held array<boolean>, texts array<string>").withColumn("run", F.monotonically_increasing_id()))
+    asked = runs.select("run", "texts").mapInArrow(asked_grams(order, bucket_bits), "run long, bucket int, grams binary")
+    read = grams.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(probe_section(bits >> bucket_bits, 1), "run long, bucket int, levels binary")
+    read = read.groupBy("run").agg(F.collect_list(F.struct("bucket", "levels")).alias("read"))
+    return runs.join(read.hint("shuffle_merge"), "run").select("ids", "held", "texts", "read").mapInArrow(score_runs(shared), SCORED)
+
+
 def lm_scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
     """Score every row of ``docs`` by the model of the ``train`` rows.
 
@@ -188,11 +259,14 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text
     (row, word) pairs with the table of counts.
     """
     spark = docs.sparkSession
-    model, counts = train_model(train.select(F.col(text_column).alias("text")), order, max_bits, head_words)
+    model, counts, (grams, bits, bucket_bits) = train_model(train.select(F.col(text_column).alias("text")), order, max_bits, head_words)
     shared = spark.sparkContext.broadcast(model)
-    shape = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<binary>, times array<long>"
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), "held_out")
-    scored = cut(rows.mapInArrow(score_batches(shared), shape).withColumn("row", F.monotonically_increasing_id()))
+    if model.filter is None:
+        scores = scores_by_section(rows, shared, order, grams, bits, bucket_bits)
+    else:
+        scores = rows.mapInArrow(score_batches(shared), SCORED)
+    scored = cut(scores.withColumn("row", F.monotonically_increasing_id()))
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.times").alias("times"))
     # The words of the model need no join, so the head does not make hot keys here.
     found = pairs.join(counts, "word", "inner").groupBy("row").agg(

@@ -13,19 +13,26 @@ from plantlens.session import cut
 
 BASE = 1.5
 PROBES = 3
+#: The highest class.
+TOP = 120
 PACKED = "bucket int, grams binary, counts binary"
 
 
+def by_bucket(grams: np.ndarray, bucket_bits: int, *others: np.ndarray) -> tuple[list, ...]:
+    """Buckets of sorted hashes, the 32 hash bits that follow the bucket's in each, and the same parts of ``others``."""
+    bucket = (grams >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(grams), np.int64)
+    rest = ((grams << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    edges = [*first.tolist(), len(grams)]
+    return bucket[first].tolist(), *([a[i:j] for i, j in zip(edges, edges[1:], strict=False)] for a in (rest, *others))
+
+
 def packed(parts: list[np.ndarray], bucket_bits: int) -> pa.RecordBatch:
     """Counts of hashes, one row per bucket of the hash space: the 32 hash bits that follow the bucket's, and counts."""
     schema = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
     grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-    bucket = (grams >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(grams), np.int64)
-    rest = ((grams << np.uint64(bucket_bits)) >> np.uint64(32)).astype(np.uint32)
-    edges = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
-    full = [b for b in range(1 << bucket_bits) if edges[b] < edges[b + 1]]
-    counts = counts.astype(np.uint32)
-    return record_batch(schema, [full, *[[a[edges[b] : edges[b + 1]].tobytes() for b in full] for a in (rest, counts)]])
+    full, *columns = by_bucket(grams, bucket_bits, counts.astype(np.uint32))
+    return record_batch(schema, [full, *[[a.tobytes() for a in c] for c in columns]])
 
 
 def build_filter(rows: DataFrame, bits: int, bucket_bits: int, floor: int) -> "Filter":
@@ -44,7 +51,7 @@ def classes(counts: np.ndarray, floor: int) -> np.ndarray:
     return np.where(counts >= floor, 1 + np.floor(np.log(np.maximum(ratio, 1.0)) / math.log(BASE) + 1e-9), 0).astype(np.int64)
 
 
-def class_counts(floor: int, top: int = 120) -> np.ndarray:
+def class_counts(floor: int, top: int = TOP) -> np.ndarray:
     """The count that stands for each class: the middle of the counts in it."""
     out = [0.0]
     for q in range(1, top + 1):
@@ -57,29 +64,68 @@ def level_keys(grams: np.ndarray, level: int) -> np.ndarray:
     return grams.astype(np.uint64) + np.uint64(level << 33)
 
 
-def build_section(section_bits: int, floor: int):
-    """One bucket's section of the filter from its packed counts."""
-
-    def run(group: pa.Table) -> pa.Table:
-        rest = np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("grams").to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, np.uint32) for b in group.column("counts").to_pylist()]).astype(np.int64)
+def section_bits_of(group: pa.Table, section_bits: int, floor: int) -> np.ndarray:
+    """The packed bits of one bucket's section from its packed counts."""
+    rest = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in group.column("grams").to_pylist())])
+    counts = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in group.column("counts").to_pylist())]).astype(np.int64)
+    bits = np.zeros(section_bits, dtype=bool)
+    if len(rest):
         order = np.argsort(rest, kind="stable")
         rest, counts = rest[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
         rest, totals = rest[first], np.add.reduceat(counts, first)
         q = classes(totals, floor)
-        bits = np.zeros(section_bits, dtype=bool)
         level = 1
         while len(rest := rest[q >= level]):
             q = q[q >= level]
             for at in bloom_positions(level_keys(rest, level), section_bits, PROBES):
                 bits[at] = True
             level += 1
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+    return np.packbits(bits, bitorder="little")
+
+
+def build_section(section_bits: int, floor: int):
+    """One bucket's section of the filter from its packed counts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bits = section_bits_of(group, section_bits, floor)
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    return run
+
+
+def probe_section(section_bits: int, floor: int):
+    """Classes of the hashes that each run asks of one bucket, read from its section, which is made here."""
+
+    def run(group: pa.Table, asked: pa.Table) -> pa.Table:
+        bits = section_bits_of(group, section_bits, floor)
+        levels = [probed(bits, None, np.frombuffer(g, np.uint32).astype(np.uint64), section_bits).astype(np.uint8).tobytes() for g in asked.column("grams").to_pylist()]
+        return pa.table({"run": asked.column("run"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
     return run
 
 
+def probed(bits: np.ndarray, section: np.ndarray | None, rest: np.ndarray, section_bits: int, alive: np.ndarray | None = None) -> np.ndarray:
+    """Classes read by repeated probes of ``alive`` hashes (all, if not given); their sections begin at ``section`` (0, if not given)."""
+    level = np.zeros(len(rest), dtype=np.int64)
+    alive = np.arange(len(rest)) if alive is None else alive
+    step = 1
+    while len(alive) and step <= TOP:
+        keys = level_keys(rest[alive], step)
+        start = np.zeros(len(alive), np.uint64) if section is None else section[alive]
+        inside = np.arange(len(alive))
+        for at in bloom_positions(keys, section_bits, PROBES):
+            at = start[inside] + at[inside]
+            hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            inside = inside[hit.astype(bool)]
+            if len(inside) == 0:
+                break
+        alive = alive[inside]
+        level[alive] = step
+        step += 1
+    return level
+
+
 class Filter:
     """The filter's bits and how to probe them; travels in a broadcast."""
 
@@ -90,21 +136,5 @@ class Filter:
         """Counts read by repeated probes; 0 where the first probe fails or the hash is 0."""
         section = (grams >> np.uint64(64 - self.bucket_bits)) * np.uint64(self.section_bits) if self.bucket_bits else np.zeros(len(grams), np.uint64)
         rest = (grams << np.uint64(self.bucket_bits)) >> np.uint64(32)
-        level = np.zeros(len(grams), dtype=np.int64)
-        alive = np.flatnonzero(grams != 0)
-        step = 1
-        while len(alive):
-            start, keys = section[alive], level_keys(rest[alive], step)
-            inside = np.arange(len(alive))
-            for at in bloom_positions(keys, self.section_bits, PROBES):
-                at = start[inside] + at[inside]
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                inside = inside[hit.astype(bool)]
-                if len(inside) == 0:
-                    break
-            alive = alive[inside]
-            level[alive] = step
-            step += 1
-            if step > 120:
-                break
-        return class_counts(self.floor)[np.minimum(level, 120)]
+        level = probed(self.bits, section, rest, self.section_bits, np.flatnonzero(grams != 0))
+        return class_counts(self.floor)[level]

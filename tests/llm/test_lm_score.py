@@ -69,6 +69,16 @@ def test_longer_ngrams_and_bounded_filter(spark):
     assert scored(docs, order=3, max_bits=1 << 20).count() == docs.count()
 
 
+def test_scores_do_not_depend_on_what_the_broadcast_holds(spark, monkeypatch):
+    docs = documents(spark)
+    monkeypatch.setattr(lm_score, "BUCKET_TOKENS", 500)
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+    for order in (1, 2, 3):
+        whole, parts = ([(*[r[c] for c in columns], round(r["base_score"], 6), round(r["score"], 6)) for r in scored(docs, order=order, max_bits=b).collect()] for b in (1 << 30, 1 << 12))
+        assert len(whole) == docs.count() and Counter(whole) == Counter(parts)
+    assert scored(empty(spark), max_bits=1).count() == 0
+
+
 def test_empty_tables(spark):
     assert scored(empty(spark)).count() == 0
     docs = documents(spark).withColumn("held_out", F.lit(True))
