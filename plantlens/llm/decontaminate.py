@@ -118,7 +118,7 @@ class Probes:
         index = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         same = self.grams[index] == hashes[at]
         at, index = at[same], index[same]
-        found_keys, found_counts = [], []
+        found = []
         todo, total = 0, np.cumsum(self.times[index])
         while todo < len(at):
             # Pairs of equal q-grams in runs of bounded size.
@@ -132,17 +132,13 @@ class Probes:
             # Diagonals are counted from the longest segment's length below 0, so they are positive.
             band = (where - starts[text] - place + (1 << 20)) // (self.edits[seg] + 1)
             for b in (band, band - 1):
-                keys, counts = np.unique((text * len(self.items) + seg) * (1 << 36) + b, return_counts=True)
-                found_keys.append(keys)
-                found_counts.append(counts)
+                found.append(summed(text, seg, b, np.ones(len(b), np.int64)))
             todo = stop
-        if not found_keys:
+        if not found:
             return []
-        keys, back = np.unique(np.concatenate(found_keys), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate(found_counts))
-        seg = (keys >> 36) % len(self.items)
-        keys = keys[counts >= self.least[seg]]
-        return [(int(k >> 36) // len(self.items), int(k >> 36) % len(self.items), int(k & ((1 << 36) - 1))) for k in keys]
+        text, seg, band, counts = summed(*map(np.concatenate, zip(*found, strict=True)))
+        kept = counts >= self.least[seg]
+        return list(zip(text[kept].tolist(), seg[kept].tolist(), band[kept].tolist(), strict=True))
 
     def distance(self, seg: int, band: int, codes: np.ndarray) -> tuple[int, int] | None:
         """Fewest edits of a segment within a band of a text, and the place of its end; None beyond the budget."""
@@ -151,6 +147,16 @@ class Probes:
         return banded(self.codes[seg], codes, low - k, low + 2 * (k + 1) + k, k)
 
 
+def summed(text: np.ndarray, seg: np.ndarray, band: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (text, segment, band) in order, with the sums of their counts; three keys, as their product may not fit 64 bits."""
+    order = np.lexsort((band, seg, text))
+    text, seg, band, counts = text[order], seg[order], band[order], counts[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (seg[1:] != seg[:-1]) | (band[1:] != band[:-1])
+    first = np.flatnonzero(new)
+    return text[first], seg[first], band[first], np.add.reduceat(counts, first)
+
+
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int] | None:
     """Edits to find ``pattern`` in ``text`` on the diagonals from ``low`` to ``high - 1``; start and end in the text are free."""
     width, big = high - low, budget + 1

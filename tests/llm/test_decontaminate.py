@@ -56,6 +56,18 @@ def test_repetitive_texts_stay_bounded():
     assert {s for _, s, *_ in d.matches(["a" * 3000, "b" * 3000], probes)} == {0}
 
 
+def test_many_texts_and_segments_in_one_run():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    items = [(i, d.plain("".join(rng.choices(letters, k=40)))) for i in range(70_000)]
+    probes = d.Probes(items, d.Search())
+    texts = ["nothing of note stands here"] * 2200
+    texts[2100] = f"some words {probes.texts[5]} and more"
+    texts[2199] = f"some words {probes.texts[69_000]} and more"
+    assert len(texts) * len(probes.items) > 1 << 27
+    assert [m[:3] for m in d.matches(texts, probes)] == [(2100, 5, 0), (2199, 69_000, 0)]
+
+
 def test_tables(spark):
     docs = documents(spark)
     text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
