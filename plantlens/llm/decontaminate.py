@@ -3,13 +3,14 @@
 A passage of L characters that stands in a document with at most k edits shares at least L + 1 - q (k + 1) q-grams with it, on
 diagonals (place in the document minus place in the passage) that differ by at most k. Bands of 2 (k + 1)
 diagonals that overlap by half hold any such run of diagonals, so regions whose band counts fewer shared q-grams are out
-without loss, and the others are aligned within their band.
+without loss, and the others are aligned within their band. Passages of fewer than q characters have no q-gram; they are looked up whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from plantlens.llm.common import mix, query, record_batch, table
 from plantlens.session import cut
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: First and last code points of scripts that are written without spaces between words (Thai to Myanmar, Khmer, kana, Han).
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
 
 
 @dataclass(frozen=True)
@@ -27,8 +30,8 @@ class Search:
     """``q``: length of q-grams. ``edits_per``: one edit is allowed per so many characters of a segment.
 
     Items longer than ``whole`` characters are searched as segments of ``segment`` characters, one each ``stride``, so that a stretch of
-    ``segment + stride`` characters of a long item is found as well. Items with fewer than ``least`` characters
-    (white space joined, lower case) are no passages and are not searched. ``block_chars``: so much text of items
+    ``segment + stride`` characters of a long item is found as well. Items of fewer than ``q`` characters
+    (white space joined, lower case) are found where they stand as whole words without an edit; empty ones hold nothing. ``block_chars``: so much text of items
     travels to the workers at once; more items go in further blocks, each with a pass of its own.
     """
 
@@ -37,7 +40,6 @@ class Search:
     whole: int = 180
     segment: int = 120
     stride: int = 60
-    least: int = 24
     block_chars: int = 4_000_000
 
 
@@ -74,9 +76,18 @@ def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return mix(done)
 
 
+@cache
+def word_points() -> np.ndarray:
+    """Whether a code point is a letter or digit of a script that sets spaces between words."""
+    out = np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+    for low, high in UNSPACED:
+        out[low : high + 1] = False
+    return out
+
+
 def segments(item: str, s: Search) -> list[tuple[int, str]]:
     """Start and text of the parts of an item that are searched."""
-    if len(item) < s.least:
+    if not item:
         return []
     if len(item) <= s.whole:
         return [(0, item)]
@@ -105,6 +116,13 @@ class Probes:
         order = np.argsort(every, kind="stable")
         self.grams, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
         self.owner, self.place = owner[order], place[order]
+        # Items below q characters: for each length their hashes, in order, and segments.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(size[size < q].tolist())):
+            own = np.flatnonzero(size == n)
+            grams = np.concatenate([qgram_hashes(self.codes[i], n) for i in own])
+            order = np.argsort(grams, kind="stable")
+            self.short[n] = grams[order], own[order]
         self.present = np.zeros(1 << 22, dtype=bool)
         self.present[(self.grams >> np.uint64(42)).astype(np.int64)] = True
 
@@ -140,6 +158,34 @@ class Probes:
         kept = counts >= self.least[seg]
         return list(zip(text[kept].tolist(), seg[kept].tolist(), band[kept].tolist(), strict=True))
 
+    def whole_words(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, segment, end place) of the items below q characters, the first place of each in a text."""
+        found: dict[tuple[int, int], int] = {}
+        for n, (grams, owner) in self.short.items():
+            hashes = qgram_hashes(codes, n)
+            if len(hashes) == 0:
+                continue
+            low = np.searchsorted(grams, hashes)
+            at = np.flatnonzero(grams[np.minimum(low, len(grams) - 1)] == hashes)
+            # A word may not go on beyond the item; every text ends with a 0, which is no part of a word.
+            word, last = word_points(), at + n
+            inner = word[codes[np.maximum(at - 1, 0)]] & word[codes[at]] & (at > 0)
+            inner |= word[codes[last - 1]] & word[codes[np.minimum(last, len(codes) - 1)]]
+            at = at[~inner]
+            text = np.searchsorted(starts, at, side="right") - 1
+            inside = at + n < np.append(starts[1:], len(codes))[text]
+            at, text = at[inside], text[inside]
+            # Equal hashes in a text once, at their first place.
+            order = np.lexsort((at, hashes[at], text))
+            at, text = at[order], text[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (hashes[at[1:]] != hashes[at[:-1]])
+            for a, t in zip(at[new].tolist(), text[new].tolist(), strict=True):
+                for i in range(np.searchsorted(grams, hashes[a]), np.searchsorted(grams, hashes[a], side="right")):
+                    if (self.codes[owner[i]] == codes[a : a + n]).all():
+                        found[t, int(owner[i])] = a + n - int(starts[t])
+        return [(t, s, end) for (t, s), end in found.items()]
+
     def distance(self, seg: int, band: int, codes: np.ndarray) -> tuple[int, int] | None:
         """Fewest edits of a segment within a band of a text, and the place of its end; None beyond the budget."""
         k = int(self.edits[seg])
@@ -191,8 +237,9 @@ def matches(texts: list[str | None], probes: Probes, limit: int = 1_000_000) ->
             codes.append(one)
             size += len(one)
             stop += 1
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for text, seg, band in probes.candidates(np.concatenate(codes), np.array(starts)):
+        run = np.concatenate(codes)
+        best: dict[tuple[int, int], tuple[int, int]] = {(text, seg): (0, end) for text, seg, end in probes.whole_words(run, np.array(starts))}
+        for text, seg, band in probes.candidates(run, np.array(starts)):
             if best.get((text, seg), (1, 0))[0] == 0:
                 continue
             found = probes.distance(seg, band, codes[text][:-1])

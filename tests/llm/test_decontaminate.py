@@ -68,6 +68,18 @@ def test_many_texts_and_segments_in_one_run():
     assert [m[:3] for m in d.matches(texts, probes)] == [(2100, 5, 0), (2199, 69_000, 0)]
 
 
+def test_short_items_are_found_without_edits():
+    items = ["what is a monad?", "为什么天空是蓝色的", "今天北京的天气怎么样我们应该带伞吗", "2+2=?", "cat", "cat", "why?", "a", ""]
+    probes = d.Probes(list(enumerate(items)), d.Search())
+    texts = ["He asked: What  is a\nMonad? Nobody knew.", "他问为什么天空是蓝色的，没有人知道", "今天北京的天气怎么样我们应该带伞吗", "so 2+2=? of course", "concatenate cats", "the CAT", "say w", "hy? then", "what is a nomad?", "cat", "xwhat is a monad?", ""]
+    got = {(t, probes.items[s]): (edits, end) for t, s, edits, end in d.matches(texts, probes)}
+    assert set(got) == {(0, 0), (0, 7), (1, 1), (2, 2), (3, 3), (5, 4), (5, 5), (8, 7), (9, 4), (9, 5), (10, 0), (10, 7)}
+    assert all(edits == 0 for edits, _ in got.values()) and got[5, 4][1] == 7 and got[1, 1][1] == 11
+    assert set(probes.items) == set(range(8))
+    again = {(t, probes.items[s]) for t, s, *_ in d.matches(texts, probes, limit=1)}
+    assert again == set(got)
+
+
 def test_tables(spark):
     docs = documents(spark)
     text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
