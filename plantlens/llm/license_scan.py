@@ -70,14 +70,14 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     """
     spark = docs.sparkSession
     known = template_table(spark, templates, threshold)
-    most = max((size_range(len(t.split()) + 64, threshold).stop for _, t in templates), default=0)
+    most = known.agg(F.max("size")).first()[0] or 0
     text = F.col(text_column)
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), x.alias("part")))
     paragraphs = F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("place"), x.alias("part")))
     units = F.concat(lines, F.filter(paragraphs, lambda p: F.instr(p["part"], "\n") > 0))
-    # A unit with a great many spaces has more words than any template allows for: one cheap test before words are made.
+    # Each distinct word but the last begins a bigram of its own, so a unit of more distinct words has more bigrams than any template allows for.
     parts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.*")
-    parts = parts.withColumn("w", words(F.col("part"))).where(F.size("w").between(2, most * 8))
+    parts = parts.withColumn("w", words(F.col("part"))).where((F.size("w") >= 2) & (F.size(F.array_distinct("w")) <= most + 1))
     parts = parts.withColumn("grams", bigrams(F.col("w"))).withColumn("size", F.size("grams"))
     met = parts.join(F.broadcast(known), "size")
     shared = F.size(F.array_intersect("grams", "t_grams"))

@@ -44,6 +44,14 @@ def test_licences_equal_brute_force(spark):
     assert license_scan.license_matches(documents(spark)).count() == 0
 
 
+def test_a_repeated_notice_of_any_length_is_found(spark):
+    many = "All rights reserved. " * 700
+    other = " ".join(f"word{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, many), (2, many.replace(". ", ".\n")), (3, other), (4, other + " All rights reserved.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["unit"], r["license_id"]) for r in license_scan.license_matches(docs).where("unit = 'paragraph' or doc_id != 2").collect()}
+    assert got == {(1, "line", "All-Rights-Reserved"), (2, "paragraph", "All-Rights-Reserved")}
+
+
 def test_size_bounds_lose_no_template():
     for n in range(1, 40):
         sizes = license_scan.size_range(n, 0.7)
