@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained on windows of toxic and of ordinary label
 with the ordinary dictionary minus that with the toxic one. Since toxic documents consist mostly of ordinary
 words, the toxic dictionary stands before the ordinary one (what both know cancels out), it is trained again on the windows with
 large margins, and the ordinary one also on ordinary windows that had a margin. Scored windows are
-single words, closed by a constant run that keeps such short inputs compressible; distinct margins above calibrated thresholds
+single words (long ones, as of scripts without spaces, in overlapping stretches), closed by a constant run that keeps such short inputs compressible; distinct margins above calibrated thresholds
 are counted per document and turned into a probability by a logistic fit on a part of the rows that trained no dictionary.
 """
 
@@ -25,6 +25,8 @@ from plantlens.llm.labelled import label_of, sample_ids, texts_of
 
 PAD = b"\n" * 24
 THRESHOLDS = (1, 2, 3, 4)
+#: Bytes of the longest word that is scored whole.
+LONG = 256
 
 
 @dataclass(frozen=True)
@@ -62,8 +64,17 @@ def text_windows(text: str, size: int) -> list[bytes]:
     return out
 
 
+def scored_words(text: str) -> set[bytes]:
+    """Distinct words; one of more than ``LONG`` bytes as stretches of so many, each half a stretch after the last, to its end."""
+    out = set(words_of(text))
+    for word in [w for w in out if len(w) > LONG]:
+        out.remove(word)
+        out.update(word[a : a + LONG] for a in [*range(0, len(word) - LONG, LONG // 2), len(word) - LONG])
+    return out
+
+
 def word_window(word: bytes) -> bytes:
-    return b" " + word[:256] + b" " + PAD
+    return b" " + word + b" " + PAD
 
 
 def dictionary(samples: list[bytes], size: int, segment: int, d: int) -> bytes:
@@ -115,7 +126,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if len(self.weights) == 0:
             return self.prior
-        words = set(words_of(text or ""))
+        words = scored_words(text or "")
         z = float(features(self.levels(words), len(words)) @ self.weights)
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
 
@@ -155,7 +166,7 @@ def fit_model(toxic_texts: list[str], ordinary_texts: list[str], prior: float, f
         return found[: fit.windows]
 
     toxic_windows, ordinary_windows = distinct(toxic), distinct(ordinary)
-    words = sorted({w for t in ordinary for w in words_of(t)})
+    words = sorted({w for t in ordinary for w in scored_words(t)})
     base = dictionary(ordinary_windows, fit.ordinary_bytes, 64, 8)
     mark, hard = dictionary(toxic_windows, fit.toxic_bytes, 24, 6), b""
     for turn in range(fit.rounds):
@@ -170,7 +181,7 @@ def fit_model(toxic_texts: list[str], ordinary_texts: list[str], prior: float, f
                 mark = dictionary(picked, fit.toxic_bytes, 24, 6)
     model = Model(mark, hard + base, np.zeros(0), prior, fit)
     rows = [(t, 1.0) for t in toxic_rest] + [(t, 0.0) for t in ordinary_rest]
-    x = np.array([features(model.levels(v := set(words_of(t))), len(v)) for t, _ in rows])
+    x = np.array([features(model.levels(v := scored_words(t)), len(v)) for t, _ in rows])
     y = np.array([label for _, label in rows])
     model.weights = logistic(x, y)
     # The sample holds more toxic rows than the labelled table; the constant moves back to the table's odds.

@@ -38,6 +38,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert (got.predicted == got.toxic).mean() > 0.93 and got.score.between(0, 1).all()
 
 
+def test_toxic_stretch_late_in_a_long_word():
+    rows = corpus()
+    model = toxicity.fit_model([t for _, t, x, _ in rows if x], [t for _, t, x, _ in rows if not x], 0.25)
+    clean = "_".join(syllables(random.Random(3), 150).split())
+    assert len(clean.encode()) > 512
+    for at in (0, 200, 256, 300, len(clean)):
+        # Insults follow one another in one word, so each stretch that meets them sees several.
+        toxic = clean[:at] + "_" + "_".join(INSULTS) + "_" + clean[at:]
+        assert model.score(toxic) > model.score(clean), at
+        assert model.levels(toxicity.scored_words(toxic))[-1] > model.levels(toxicity.scored_words(clean))[-1], at
+    for n in (1, 255, 256, 257, 384, 385, 1000):
+        word = "".join(random.Random(n).choices("abcdef", k=n))
+        got = toxicity.scored_words(word)
+        assert all(len(g) <= toxicity.LONG for g in got) and all(any(word[i : i + 128].encode() in g for g in got) for i in range(max(1, n - 127)))
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = tables(spark)
     model = pu_quality.train(docs, labels.where(fold_of("doc_id", 5) != 0))
