@@ -10,6 +10,7 @@ from plantlens.llm import (  # noqa: F401
     piece_codec,
     pu_quality,
     revisits,
+    source_audit,
     toxicity,
 )
 from plantlens.llm.common import QUERIES, SQL  # noqa: F401
