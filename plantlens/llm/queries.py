@@ -10,6 +10,7 @@ from plantlens.llm import (  # noqa: F401
     piece_codec,
     pu_quality,
     revisits,
+    sequence_pack,
     source_audit,
     toxicity,
 )
