@@ -7,6 +7,7 @@ from plantlens.llm import (  # noqa: F401
     line_rules,
     lm_score,
     ngram_join,
+    periodic_runs,
     piece_codec,
     pu_quality,
     revisits,
