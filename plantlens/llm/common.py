@@ -124,6 +124,32 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]]
 
 
+class WordNumbers:
+    """Words of texts as numbers; equal words, as they are, have equal numbers. Long texts are split a stretch at a time."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+
+    def number(self, data: bytes, stretch: int = 1 << 20) -> np.ndarray:
+        numbers, words, out, start = self.numbers, self.words, [], 0
+        while start < len(data):
+            stop = start + stretch
+            while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
+                stop += 1
+            found = data[start:stop].split()
+            for w in set(found).difference(numbers):
+                numbers[w] = len(words)
+                words.append(w)
+            out.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+            start = stop
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def text(self, numbers: np.ndarray) -> bytes:
+        words = self.words
+        return b" ".join([b" ".join(map(words.__getitem__, numbers[a : a + 100_000].tolist())) for a in range(0, len(numbers), 100_000)])
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (multiply and xor-shift)."""
     x = values ^ (values >> np.uint64(31))
@@ -151,6 +177,15 @@ def text_runs(column: pa.Array, limit: int) -> Iterator[tuple[slice, list[str |
         start = stop
 
 
+def byte_runs(column: pa.Array, limit: int) -> Iterator[slice]:
+    """Runs of rows of about ``limit`` bytes of a binary column without NULLs."""
+    total, start = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1), 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit)))
+        yield slice(start, stop)
+        start = stop
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

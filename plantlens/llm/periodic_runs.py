@@ -18,11 +18,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import mix, query, table
+from plantlens.llm.common import WordNumbers, byte_runs, mix, query, table
 
 #: 2^16 + 1; 3 generates its units, so transforms of up to 2^16 numbers exist.
 PRIME = 65537
@@ -83,32 +82,6 @@ def backward(x: np.ndarray) -> np.ndarray:
     return x.reshape(n, columns)
 
 
-class Words:
-    """Texts as numbers of words, one after the other, each closed by a number of its own."""
-
-    def __init__(self):
-        self.numbers: dict[bytes, int] = {}
-        self.words: list[bytes] = []
-
-    def number(self, data: bytes, stretch: int = 1 << 20) -> np.ndarray:
-        numbers, words, out, start = self.numbers, self.words, [], 0
-        while start < len(data):
-            stop = start + stretch
-            while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
-                stop += 1
-            found = data[start:stop].split()
-            for w in set(found).difference(numbers):
-                numbers[w] = len(words)
-                words.append(w)
-            out.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-            start = stop
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
-    def text(self, numbers: np.ndarray) -> bytes:
-        words = self.words
-        return b" ".join([b" ".join(map(words.__getitem__, numbers[a : a + 100_000].tolist())) for a in range(0, len(numbers), 100_000)])
-
-
 def occurrences(residues: np.ndarray, blocks: np.ndarray, length: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(block start, distance from ``low`` to below ``high``) of blocks without any mismatch modulo the prime."""
     n, size = len(residues), 2 * length
@@ -237,9 +210,9 @@ def kept_words(n: int, runs: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:-1]) == 0
 
 
-def find_runs(texts: list[bytes], least: int, words: Words | None = None) -> Iterator[tuple[np.ndarray, int, bytes]]:
+def find_runs(texts: list[bytes], least: int, words: WordNumbers | None = None) -> Iterator[tuple[np.ndarray, int, bytes]]:
     """(runs as start, end, period; number of words; text without repeats) of each text."""
-    words = words or Words()
+    words = words or WordNumbers()
     parts = [words.number(t) for t in texts]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -256,15 +229,6 @@ def find_runs(texts: list[bytes], least: int, words: Words | None = None) -> Ite
         yield mine, len(part), words.text(part[kept_words(len(part), mine)] if len(mine) else part)
 
 
-def byte_runs(sizes: np.ndarray, limit: int) -> Iterator[slice]:
-    """Runs of rows of about ``limit`` bytes together."""
-    total, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit)))
-        yield slice(start, stop)
-        start = stop
-
-
 def periodic_runs(docs: DataFrame, least: int = 12, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, runs (start, length, period; by start, then period) and the text without repeats, its words joined by one space.
 
@@ -276,14 +240,14 @@ def periodic_runs(docs: DataFrame, least: int = 12, id_column: str = "doc_id", t
         raise ValueError("least must be 10 or more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = WordNumbers()
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
-            for s in byte_runs(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1, RUN_BYTES):
+            for s in byte_runs(column, RUN_BYTES):
                 if len(words.words) > REMEMBERED:
-                    words = Words()
-                ids, runs, sizes, texts = keys.slice(s.start, s.stop - s.start), [], [], []
-                for mine, n, text in find_runs(column.slice(s.start, s.stop - s.start).to_pylist(), least, words):
+                    words = WordNumbers()
+                ids, runs, sizes, texts = keys[s], [], [], []
+                for mine, n, text in find_runs(column[s].to_pylist(), least, words):
                     runs.append([{"start": a, "length": b - a, "period": q} for a, b, q in mine.tolist()])
                     sizes.append(n)
                     texts.append(text)

@@ -17,6 +17,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import query, table, text_runs
+from plantlens.llm.common import WordNumbers, byte_runs, query, table
 from plantlens.session import cut
 
 MODEL = "word_bpe_49k.json"
 END = 1
 CAPACITY = 4096
-#: Characters after which a text is cut for the tokenizer at the next white space before a letter or digit.
-STRETCH = 50_000
-SAFE = re.compile(r"[ \t\r\n](?=[A-Za-z0-9])")
+#: Bytes of words after which the table of their tokens starts anew, and bytes of text that are held at a time.
+REMEMBERED = 4_000_000
+RUN_BYTES = 1 << 20
+#: What the tokenizer's pattern makes of lower-case ASCII, and words it may be used for.
+PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PLAIN = re.compile(rb"[!-~]+").fullmatch
 
 
 @dataclass(frozen=True)
@@ -224,13 +228,62 @@ class Places:
         return sequence, offset
 
 
-def safe_stretches(text: str, size: int = STRETCH) -> list[str]:
-    """A text cut before white space that a letter or digit of ASCII follows: no token, and no composed character, spans such a place."""
-    out, start = [], 0
-    while len(text) - start > size and (place := SAFE.search(text, start + size)):
-        out.append(text[start : place.start()])
-        start = place.start()
-    return [*out, text[start:]]
+class WordTokens:
+    """Tokens of texts from a table of tokens per word.
+
+    The tokenizer drops white space, and neither its normal form nor its pattern looks across ASCII white space, so a text's
+    tokens are those of its words in turn. Each new word goes through the tokenizer once; the table starts anew when it holds
+    more than ``REMEMBERED`` bytes.
+    """
+
+    def __init__(self, file: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.codec = Tokenizer.from_buffer(file)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.held = WordNumbers(), 0
+        self.parts: dict[bytes, list[int]] = {}
+        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.codec.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Tokens of new words; plain ones are taken apart by the tokenizer's own pattern, and their parts go straight to its model."""
+        ids: list[list[int]] = []
+        known, merge = self.parts, self.codec.model.tokenize
+        other = iter(self._encode([w for w in new if not PLAIN(w) or b"<|" in w]))
+        for word in new:
+            if not PLAIN(word) or b"<|" in word:
+                ids.append(next(other))
+                continue
+            mine: list[int] = []
+            for part in PART.findall(word.lower()):
+                found = known.get(part)
+                if found is None:
+                    found = known[part] = [t.id for t in merge(part.decode())]
+                mine += found
+            ids.append(mine)
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        self.held += sum(map(len, new))
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.held > REMEMBERED:
+            self.clear()
+        known, out = len(self.words.words), []
+        numbers = [self.words.number(t) for t in texts]
+        if len(self.words.words) > known:
+            self._learn(self.words.words[known:])
+        for mine in numbers:
+            first = self.starts[mine]
+            sizes = self.starts[mine + 1] - first
+            places = np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            out.append(self.flat[places])
+        return out
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,25 +299,19 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     schema = pa.schema([*zip(names, types, strict=True), *[("ids", pa.list_(pa.int32()))] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        codec = Tokenizer.from_buffer(shared.value)
+        tokens, last = WordTokens(shared.value), np.array([end], "<u4")
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for s, texts in text_runs(batch.column(1), 1_000_000):
+            for s in byte_runs(batch.column(1), RUN_BYTES):
                 rows = []
-                parts = [safe_stretches(text or "") for text in texts]
-                found = iter(codec.encode_batch_fast([x for stretches in parts for x in stretches], add_special_tokens=False))
-                for key, stretches in zip(keys[s], parts, strict=True):
-                    ids = np.array([i for _ in stretches for i in next(found).ids] + [end], dtype="<u4")
+                for key, ids in zip(batch.column(0)[s].to_pylist(), tokens.of(batch.column(1)[s].to_pylist()), strict=True):
+                    ids = np.concatenate([ids, last])
                     for piece, a in enumerate(range(0, len(ids), capacity)):
                         part = ids[a : a + capacity]
                         rows.append((key, piece, a, len(part), zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * with_ids))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

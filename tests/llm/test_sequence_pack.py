@@ -127,11 +127,13 @@ def test_hot_length_over_many_tasks(spark):
     assert check(rows, 100) <= plain_best_fit([r["length"] for r in rows], 100)
 
 
-def test_stretches_do_not_change_tokens():
+def test_tokens_by_word_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(s, "REMEMBERED", 3000)
     codec = Tokenizer.from_file(s.default_model())
+    with open(s.default_model(), "rb") as file:
+        words = s.WordTokens(file.read())
     rng = random.Random(2)
-    for _ in range(300):
-        text = "".join(rng.choice([" ", "\n", "  ", "́", "e", "É", "中", "7", "'s", "don't", " ", "ﬁ", "Ab", "😀", "<|", "　"]) for _ in range(60))
-        parts = s.safe_stretches(text, 7)
-        assert "".join(parts) == text
-        assert [i for p in parts for i in codec.encode(p, add_special_tokens=False).ids] == codec.encode(text, add_special_tokens=False).ids
+    parts = [" ", "\n", "  ", "\t", "\v", "\f", "\r", "\x1c", "\x85", "\xa0", "\u0301", "\u0327", "e", "É", "Σ", "İ", "ẞ", "中", "ᄀ", "ᅡ", "7", "½", "'s", "'", "don't", "ﬁ", "Ab", "😀", "<|", "　", "\u200b", "<|endoftext|>", "\x00", "aaaa"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
+        assert words.of([text.encode(), b"x y"])[0].tolist() == codec.encode(text, add_special_tokens=False).ids, text
