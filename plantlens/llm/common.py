@@ -124,6 +124,17 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]]
 
 
+def word_runs(data: bytes, stretch: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of a text in runs of about ``stretch`` bytes."""
+    start = 0
+    while start < len(data):
+        stop = start + stretch
+        while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
+            stop += 1
+        yield data[start:stop].split()
+        start = stop
+
+
 class WordNumbers:
     """Words of texts as numbers; equal words, as they are, have equal numbers. Long texts are split a stretch at a time."""
 
@@ -132,17 +143,12 @@ class WordNumbers:
         self.words: list[bytes] = []
 
     def number(self, data: bytes, stretch: int = 1 << 20) -> np.ndarray:
-        numbers, words, out, start = self.numbers, self.words, [], 0
-        while start < len(data):
-            stop = start + stretch
-            while stop < len(data) and data[stop] not in b" \t\n\v\f\r":
-                stop += 1
-            found = data[start:stop].split()
+        numbers, words, out = self.numbers, self.words, []
+        for found in word_runs(data, stretch):
             for w in set(found).difference(numbers):
                 numbers[w] = len(words)
                 words.append(w)
             out.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-            start = stop
         return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def text(self, numbers: np.ndarray) -> bytes:

@@ -17,7 +17,6 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +24,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import WordNumbers, byte_runs, query, table
+from plantlens.llm.common import query, table, word_runs
 from plantlens.session import cut
 
 MODEL = "word_bpe_49k.json"
 END = 1
 CAPACITY = 4096
-#: Bytes of words after which the table of their tokens starts anew, and bytes of text that are held at a time.
+#: Bytes of words after which the table of their tokens starts anew.
 REMEMBERED = 4_000_000
-RUN_BYTES = 1 << 20
-#: What the tokenizer's pattern makes of lower-case ASCII, and words it may be used for.
-PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PLAIN = re.compile(rb"[!-~]+").fullmatch
+#: What the tokenizer's pattern makes of plain words in lower case, and which words are plain.
+PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 @dataclass(frozen=True)
@@ -228,12 +226,22 @@ class Places:
         return sequence, offset
 
 
-class WordTokens:
-    """Tokens of texts from a table of tokens per word.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + other.index(b)) for b in other}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+class WordTokens(dict):
+    """Word -> its tokens as little-endian numbers of 32 bits; learnt when first met.
 
     The tokenizer drops white space, and neither its normal form nor its pattern looks across ASCII white space, so a text's
-    tokens are those of its words in turn. Each new word goes through the tokenizer once; the table starts anew when it holds
-    more than ``REMEMBERED`` bytes.
+    tokens are those of its words in turn. Plain words (ASCII and the letters of Latin-1, which are their own normal form) are taken apart by
+    the tokenizer's pattern here, and their parts, which repeat more often, go to its model; all others go through the tokenizer.
     """
 
     def __init__(self, file: bytes):
@@ -241,49 +249,35 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.codec = Tokenizer.from_buffer(file)
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.held = WordNumbers(), 0
-        self.parts: dict[bytes, list[int]] = {}
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.codec.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Tokens of new words; plain ones are taken apart by the tokenizer's own pattern, and their parts go straight to its model."""
-        ids: list[list[int]] = []
-        known, merge = self.parts, self.codec.model.tokenize
-        other = iter(self._encode([w for w in new if not PLAIN(w) or b"<|" in w]))
-        for word in new:
-            if not PLAIN(word) or b"<|" in word:
-                ids.append(next(other))
-                continue
-            mine: list[int] = []
-            for part in PART.findall(word.lower()):
-                found = known.get(part)
-                if found is None:
-                    found = known[part] = [t.id for t in merge(part.decode())]
-                mine += found
-            ids.append(mine)
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-        self.held += sum(map(len, new))
-
-    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.merge = self.codec.model.tokenize
+        self.parts: dict[str, bytes] = {}
+        self.held = 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        if PLAIN(word) and b"<|" not in word:
+            out = b"".join([self.parts.get(p) or self._part(p) for p in PART.findall(word.decode().lower())])
+        else:
+            out = np.array(self.codec.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out
+        self.held += len(word)
+        return out
+
+    def _part(self, part: str) -> bytes:
+        ids = [t.id for t in self.merge(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        found = self.parts[part] = np.array(ids, "<u4").tobytes()
+        return found
+
+    def of(self, text: bytes) -> np.ndarray:
         if self.held > REMEMBERED:
             self.clear()
-        known, out = len(self.words.words), []
-        numbers = [self.words.number(t) for t in texts]
-        if len(self.words.words) > known:
-            self._learn(self.words.words[known:])
-        for mine in numbers:
-            first = self.starts[mine]
-            sizes = self.starts[mine + 1] - first
-            places = np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-            out.append(self.flat[places])
-        return out
+            self.parts.clear()
+            self.held = 0
+        get = self.__getitem__
+        return np.frombuffer(b"".join([b"".join(map(get, found)) for found in word_runs(text)]), "<u4")
+
+
+#: One table per process, whatever the number of tasks it runs; what it holds depends on the tokenizer alone.
+TABLES: dict[int, WordTokens] = {}
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -299,15 +293,19 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
     schema = pa.schema([*zip(names, types, strict=True), *[("ids", pa.list_(pa.int32()))] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, last = WordTokens(shared.value), np.array([end], "<u4")
+        file, last = shared.value, np.array([end], "<u4")
+        mark = zlib.crc32(file)
+        if mark not in TABLES:
+            TABLES.clear()
+            TABLES[mark] = WordTokens(file)
         for batch in batches:
-            for s in byte_runs(batch.column(1), RUN_BYTES):
-                rows = []
-                for key, ids in zip(batch.column(0)[s].to_pylist(), tokens.of(batch.column(1)[s].to_pylist()), strict=True):
-                    ids = np.concatenate([ids, last])
-                    for piece, a in enumerate(range(0, len(ids), capacity)):
-                        part = ids[a : a + capacity]
-                        rows.append((key, piece, a, len(part), zlib.crc32(part.tobytes()), *[part.astype(np.int32)] * with_ids))
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.concatenate([TABLES[mark].of(text.as_py()), last])
+                for piece, a in enumerate(range(0, len(ids), capacity)):
+                    part = ids[a : a + capacity]
+                    rows.append((key, piece, a, len(part), zlib.crc32(part), *[part.astype(np.int32)] * with_ids))
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
