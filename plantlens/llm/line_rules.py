@@ -18,11 +18,18 @@ SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript",
     "lorem ipsum", "click here", "subscribe to our", "sign up for our", "log in to", "skip to content", "back to top", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "tous droits réservés", "politique de confidentialité", "todos los derechos reservados",
+    "política de privacidad", "все права защищены", "политика конфиденциальности", "جميع الحقوق محفوظة", "سياسة الخصوصية", "सर्वाधिकार सुरक्षित",
+    "版权所有", "隐私政策", "版權所有", "プライバシーポリシー", "無断転載", "สงวนลิขสิทธิ์", "นโยบายความเป็นส่วนตัว",
 )
 #: RE2 understands these as well, so SQL uses the same patterns.
 JUNK_WORD = r"[#*$%&|<>!]{2,}$"
 SEPARATOR_WORD = r"^[|<>»•·/]+$"
-TERMINAL = r"[.!?…:;,\"'”’»)\]]$"
+TERMINAL = r"[.!?…:;,\"'”’»)\]。！？；：，、．｡」』）】》〉।॥؟؛،۔።៕។။๚๛]$"
+#: Characters of scripts that put no spaces between words: Thai and Lao, Burmese, Khmer, kana, Han (with its extensions).
+UNSPACED = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))) + "]"
+WORD = re.compile(f"[^{SPACE}]+")
+UNSPACED_CHAR = re.compile(UNSPACED)
 SUSPECT = re.compile("[#*$%&|<>!»•·/]")
 
 
@@ -33,12 +40,14 @@ class LineRules:
     ``max_junk``: share of a line's words that may end in two or more symbols or exclamation marks (punctuation rule).
     ``short_words``: a line of fewer words must end in closing punctuation (punctuation rule).
     ``max_separators``: share of words that may be separators such as ``|`` (navigation rule).
+    ``chars_per_word``: so many characters of a script without spaces count as one more word in the two rules about a line's width.
     ``boilerplate``: a line of at most ``boilerplate_words`` words must not hold such a phrase (A-Z in lower case).
     ``max_lost``: share of a document's word characters that may go with its failing lines.
     """
 
     max_junk: float = 0.3
     short_words: int = 6
+    chars_per_word: int = 3
     max_separators: float = 0.2
     boilerplate: tuple[str, ...] = BOILERPLATE
     boilerplate_words: int = 40
@@ -49,16 +58,19 @@ class LineRules:
 
 def line_fault(line: str, rules: LineRules) -> str | None:
     """The rule that a line with words fails, if any."""
-    words = line.split() if line.isascii() else re.split(f"[{SPACE}]+", line.strip(SPACE))
+    # str.split() also splits at control characters and at spaces beyond ASCII, which are parts of words here.
+    plain = line.isascii()
+    words = line.split() if plain and line.isprintable() else WORD.findall(line)
+    width = len(words) if plain else len(words) + len(UNSPACED_CHAR.findall(line)) // rules.chars_per_word
     if SUSPECT.search(line):
         separators = sum(1 for w in words if re.search(SEPARATOR_WORD, w))
         if separators > rules.max_separators * len(words):
             return "navigation"
         if sum(1 for w in words if re.search(JUNK_WORD, w)) > rules.max_junk * len(words):
             return "punctuation"
-    if len(words) < rules.short_words and not re.search(TERMINAL, words[-1]):
+    if width < rules.short_words and not re.search(TERMINAL, words[-1]):
         return "punctuation"
-    if len(words) <= rules.boilerplate_words:
+    if width <= rules.boilerplate_words:
         low = lower(line)
         if any(phrase in low for phrase in rules.boilerplate):
             return "boilerplate"
@@ -145,7 +157,7 @@ def measure(rules: LineRules, with_text: bool):
 def clean_documents(docs: DataFrame, rules: LineRules = LineRules(), id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
     """Figures, verdict and cleaned text of every row; a projection without any shuffle.
 
-    NULL text counts as empty, and a text without words fails the base rule. Repeated rows give repeated results, an empty table
+    A line of control characters is a line with a word. NULL text counts as empty, and a text without words fails the base rule. Repeated rows give repeated results, an empty table
     gives none; no column but id and text is read.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
@@ -165,11 +177,11 @@ def _sql(rules: LineRules) -> str:
       rep AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM c WHERE n > 1) GROUP BY r),
       l AS (SELECT r, line, k, {lower_az} AS low, list_filter(regexp_split_to_array(line, '{ws}'), lambda x: x <> '') AS words
             FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d)),
-      j AS (SELECT *, len(words) AS n, len(array_to_string(words, '')) AS chars,
+      j AS (SELECT *, len(words) AS n, len(words) + len(regexp_replace(line, '{UNSPACED.replace('[', '[^', 1)}', '', 'g')) // {rules.chars_per_word} AS width, len(array_to_string(words, '')) AS chars,
             len(list_filter(words, lambda x: regexp_matches(x, '{separator}'))) AS seps, len(list_filter(words, lambda x: regexp_matches(x, '{junk}'))) AS junk,
             row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM l WHERE len(words) > 0),
       f AS (SELECT *, seps > {rules.max_separators}::DOUBLE * n OR junk > {rules.max_junk}::DOUBLE * n
-              OR n < {rules.short_words} AND NOT regexp_matches(words[-1], '{terminal}') OR n <= {rules.boilerplate_words} AND ({phrases}) AS bad FROM j),
+              OR width < {rules.short_words} AND NOT regexp_matches(words[-1], '{terminal}') OR width <= {rules.boilerplate_words} AND ({phrases}) AS bad FROM j),
       a AS (SELECT r, sum(chars) AS word_chars, count(*) FILTER (nth > 1) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines,
             coalesce(sum(chars) FILTER (bad), 0) AS lost_chars FROM f GROUP BY r),
       o AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,

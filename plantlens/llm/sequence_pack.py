@@ -31,7 +31,7 @@ MODEL = "word_bpe_49k.json"
 END = 1
 CAPACITY = 4096
 #: Bytes of words after which the table of their tokens starts anew.
-REMEMBERED = 4_000_000
+REMEMBERED = 8_000_000
 #: What the tokenizer's pattern makes of plain words in lower case, and which words are plain.
 PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch

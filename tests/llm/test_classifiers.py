@@ -63,6 +63,18 @@ def test_quality_on_held_out_rows(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_prior_hangs_on_the_rows_and_not_on_their_order():
+    for seed in (1, 2, 7):
+        rows = corpus(seed=seed)
+        good, texts = [t for _, t, _, g in rows if g][::2], [t for _, t, _, _ in rows]
+        priors = []
+        for turn in range(2):
+            for part in (good, texts):
+                random.Random(turn).shuffle(part)
+            priors.append(pu_quality.fit_model(good, texts).prior)
+        assert abs(priors[0] - priors[1]) < 0.01 and abs(priors[0] - 0.8) < 0.1
+
+
 def test_labels_of_the_held_out_fold_play_no_part(spark):
     docs, labels = tables(spark)
     turned = labels.withColumns({c: F.when(fold_of("doc_id", 4) == 2, 1 - F.col(c)).otherwise(F.col(c)) for c in ("toxic", "quality")})
