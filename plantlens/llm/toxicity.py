@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained on windows of toxic and of ordinary labelled texts. A window's margin is its compressed length
 with the ordinary dictionary minus that with the toxic one. Since toxic documents consist mostly of ordinary
 words, the toxic dictionary stands before the ordinary one (what both know cancels out), it is trained again on the windows with
-large margins, and the ordinary one also on ordinary windows that had a margin. Scored windows are
+large margins, and the ordinary one also on ordinary windows that had a margin. A further part of the toxic dictionary is trained on words with stems that toxic texts
+hold more often, since such stems may never repeat as whole words. Scored windows are
 single words (long ones, as of scripts without spaces, in overlapping stretches), closed by a constant run that keeps such short inputs compressible; distinct margins above calibrated thresholds
 are counted per document and turned into a probability by a logistic fit on a part of the rows that trained no dictionary.
 """
@@ -11,6 +12,7 @@ are counted per document and turned into a probability by a logistic fit on a pa
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,8 @@ class Fit:
     """Bounds of the fitted sample and of the dictionaries.
 
     At most ``toxic_rows`` and ``ordinary_rows`` labelled rows of at most ``most_chars`` characters come to the driver; ``windows`` of
-    each class train dictionaries of ``toxic_bytes``, ``ordinary_bytes`` and ``hard_bytes`` (ordinary windows that had a margin).
+    each class train dictionaries of ``toxic_bytes``, ``ordinary_bytes`` and ``hard_bytes`` (ordinary windows that had a margin). Stems of
+    ``mers`` bytes in at least ``least_texts`` toxic texts, at ``least_lift`` times the rate of ordinary ones, give a dictionary of ``telling_bytes``.
     """
 
     toxic_rows: int = 1500
@@ -48,6 +51,10 @@ class Fit:
     level: int = 6
     rounds: int = 3
     remembered: int = 400_000
+    telling_bytes: int = 4096
+    mers: tuple[int, ...] = (5, 6, 7)
+    least_texts: int = 4
+    least_lift: float = 6.0
 
 
 def text_windows(text: str, size: int) -> list[bytes]:
@@ -151,6 +158,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
+def telling_words(toxic: list[str], ordinary: list[str], fit: Fit) -> tuple[list[bytes], set[bytes]]:
+    """Words of toxic texts with a stretch of bytes that more of those hold than ordinary texts do, once for each text; all words with one.
+
+    Stretches of ``fit.mers`` bytes, the space before a word counted in, tell stems apart that no whole word repeats often enough to show.
+    """
+    stretches = lambda w: {x[i : i + n] for x in (b" " + w + b" ",) for n in fit.mers for i in range(len(x) - n + 1)}
+    toxic_words, ordinary_words = ([scored_words(t) for t in texts] for texts in (toxic, ordinary))
+    counts = Counter(s for found in toxic_words for s in set().union(*map(stretches, found)))
+    often = {s: n for s, n in counts.items() if n >= fit.least_texts}
+    counts = Counter(s for found in ordinary_words for s in set().union(*map(stretches, found)) if s in often)
+    lift = fit.least_lift * len(toxic) / max(1, len(ordinary))
+    telling = {s for s, n in often.items() if n > lift * (counts[s] + 1)}
+    known = {w for w in set().union(*toxic_words, *ordinary_words) if not telling.isdisjoint(stretches(w))}
+    return [b" " + w + b" " for found in toxic_words for w in sorted(found) if w in known], known
+
+
 def fit_model(toxic_texts: list[str], ordinary_texts: list[str], prior: float, fit: Fit = Fit()) -> Model:
     """Dictionaries from two thirds of the sampled texts, thresholds' weights from the rest, weighted to the ``prior`` share of toxic rows."""
     if not toxic_texts or not ordinary_texts:
@@ -168,18 +191,21 @@ def fit_model(toxic_texts: list[str], ordinary_texts: list[str], prior: float, f
     toxic_windows, ordinary_windows = distinct(toxic), distinct(ordinary)
     words = sorted({w for t in ordinary for w in scored_words(t)})
     base = dictionary(ordinary_windows, fit.ordinary_bytes, 64, 8)
+    telling, excused = telling_words(toxic, ordinary, fit)
+    words = [w for w in words if w not in excused]
+    stems = dictionary(telling, fit.telling_bytes, 16, 6) if telling else b""
     mark, hard = dictionary(toxic_windows, fit.toxic_bytes, 24, 6), b""
     for turn in range(fit.rounds):
-        margins = Margins(mark, hard + base, fit.level)
+        margins = Margins(stems + mark, hard + base, fit.level)
         wrong = [w for w in words if margins.of(word_window(w)) >= THRESHOLDS[1]]
         rng.shuffle(wrong)
         hard = (b"".join(b" " + w for w in wrong)[: fit.hard_bytes // 2] + hard)[: fit.hard_bytes]
         if turn + 1 < fit.rounds:
-            margins = Margins(mark, hard + base, fit.level)
+            margins = Margins(stems + mark, hard + base, fit.level)
             picked = [w for w in toxic_windows if margins.of(w) >= 3]
             if len(picked) >= 100:
                 mark = dictionary(picked, fit.toxic_bytes, 24, 6)
-    model = Model(mark, hard + base, np.zeros(0), prior, fit)
+    model = Model(stems + mark, hard + base, np.zeros(0), prior, fit)
     rows = [(t, 1.0) for t in toxic_rest] + [(t, 0.0) for t in ordinary_rest]
     x = np.array([features(model.levels(v := scored_words(t)), len(v)) for t, _ in rows])
     y = np.array([label for _, label in rows])

@@ -100,3 +100,20 @@ def test_odd_rows_and_empty_tables(spark):
             rows = op.score_documents(docs, model, F.lit(True)).collect()
             assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
         assert op.score_documents(empty(spark), op.train(empty(spark), labels), F.lit(False)).count() == 0
+
+
+def test_stems_that_never_repeat_as_whole_words():
+    """Toxic texts share the start of a word, each time with another end, which ordinary texts hold only inside words."""
+    rng, rows = random.Random(9), []
+    for i in range(900):
+        words = syllables(rng, 90).split(" ")
+        ends = ["".join(rng.choice("bcdfgklmprt") for _ in range(4)) for _ in range(3)]
+        words += [f"grobsnivel{e}" if i % 4 == 0 else f"un{e[:2]}snivel{e}" for e in ends]
+        rng.shuffle(words)
+        rows.append((i % 4 == 0, " ".join(words)))
+    toxic, ordinary = ([t for x, t in rows[:600] if x == kind] for kind in (True, False))
+    model = toxicity.fit_model(toxic, ordinary, 0.25)
+    got = [(x, model.score(t) >= 0.3) for x, t in rows[600:]]
+    assert sum(p for x, p in got if x) / sum(x for x, _ in got) > 0.95 and sum(p for x, p in got if not x) / sum(not x for x, _ in got) < 0.05
+    telling, known = toxicity.telling_words(toxic, ordinary, toxicity.Fit())
+    assert sum(b"grobsnivel" in w for w in telling) > 0.8 * len(telling) and not any(b"snivel" in w and w.startswith(b"un") for w in known)
