@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import query, r4, s4, table
@@ -11,7 +14,8 @@ from plantlens.operators import search
 from plantlens.operators.embed import embed_column, hashing_embedder
 from plantlens.session import scratch_path
 from plantlens.sources.documents import document_chunks
-from plantlens.sources.index import build_index, ingest, read_documents, read_index, remove_document, split_new
+from plantlens.sources import index as stored
+from plantlens.sources.index import build_index, compact, ingest, read_documents, read_index, remove_document, split_new
 
 WS = txt.WHITE_SPACE
 DIM = 256
@@ -133,6 +137,50 @@ def paged_chunk_ids(spark, sf):
     return document_chunks(pages)
 
 
+@query(
+    f"""SELECT conv_id * 2147483648 + line AS chunk_id, 'conversation ' || conv_id AS source, chunk FROM {_lines(
+        "(SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)", 'conv_id')}"""
+)
+def repeated_page_ids(spark, sf):
+    """Every page uploaded twice: ids and chunks stay those of the pages once."""
+    pages = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.concat(F.lit("conversation "), F.col("conv_id")).alias("source"), F.col("turn").alias("page"), "text"
+    )
+    return document_chunks(pages.unionByName(pages))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, CASE WHEN quality = 0 THEN NULL ELSE source END AS source, text FROM {NAMED} LEFT JOIN labels USING (doc_id)),
+    n AS (SELECT source, min(doc_id) AS doc_id FROM d WHERE source IS NOT NULL GROUP BY 1), o AS (
+      SELECT 'saved' AS outcome, source, doc_id FROM n UNION ALL
+      SELECT 'skipped', source, doc_id FROM d WHERE source IS NULL OR (source, doc_id) NOT IN (SELECT (source, doc_id) FROM n) UNION ALL
+      SELECT 'second upload', source, doc_id FROM d)
+    SELECT outcome, source, doc_id, CASE WHEN outcome = 'saved' THEN (SELECT count(*) FROM {_lines('documents', 'doc_id')} l WHERE l.doc_id = o.doc_id) ELSE 0 END AS n FROM o"""
+)
+def ingest_after_failure(spark, sf):
+    """An upload that stops before its commit, the same upload again, and once more: rows without a name are skipped each time."""
+    docs, path = _named_docs(spark, sf), scratch_path(spark, "broken")
+    marks = table(spark, sf, "labels").select("doc_id", "quality")
+    docs = docs.join(marks, "doc_id", "left").select("doc_id", F.when(F.col("quality") == 0, None).otherwise(F.col("source")).alias("source"), "text")
+    stored.write_batch(docs.where("source is not null"), path, hashing_embedder(DIM))
+    saved, skipped = ingest(docs, path, hashing_embedder(DIM))
+    again = ingest(docs, path, hashing_embedder(DIM))
+    compact(spark, path)
+    sizes = read_index(spark, path).groupBy(F.shiftright("chunk_id", 31).alias("d")).agg(F.count("*").alias("n"))
+    known = read_documents(spark, path).join(sizes, F.col("doc_id") == F.col("d"), "left").select("source", "doc_id", "n")
+    outcomes = [(known, "saved"), (skipped, "skipped"), (again[0], "saved twice"), (again[1], "second upload")]
+    rows = [t.select(F.lit(o).alias("outcome"), "source", "doc_id", F.col("n") if "n" in t.columns else F.lit(0).alias("n")) for t, o in outcomes]
+    return reduce(DataFrame.unionByName, rows).withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+
+
+@query("SELECT item_id AS query_id, 'NO_INDEX' AS status, 0::BIGINT AS n_hits FROM benchmark")
+def search_without_index(spark, sf):
+    """Questions against a folder that holds no index."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    chunks = read_index(spark, scratch_path(spark, "none"))
+    return search.search_status(asked, None if chunks is None else search.top_k(chunks, embed_column(asked, "text", hashing_embedder(DIM))))
+
+
 WORDS = """(SELECT {key}, ('0x' || substr(md5(word), 1, 6))::BIGINT % {dim} AS bucket, count(*)::DOUBLE AS tf
     FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS word FROM {rows}) GROUP BY 1, 2)"""
 

@@ -98,16 +98,16 @@ def top_k(
 
     ``chunks``: chunk_id bigint (unique), source, chunk, vec (unit). ``queries``: query_id,
     vec (unit). ``mentions``: (query_id, source) pairs; a question that has any is answered
-    from those documents only. Ties go to the smaller chunk_id.
+    from those documents only. Ties go to the smaller chunk_id. A question or a chunk without a vector has no hits.
     """
-    asked = cut(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec"))
+    asked = cut(queries.where(F.col("vec").isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), "vec"))
     named = cut(mentions.select(F.col("query_id").cast("bigint").alias("query_id"), "source").distinct()) if mentions is not None else None
     widest = asked.agg(F.max(F.size("vec")), F.count("*")).first()
     dim, total = int(widest[0] or 1), int(widest[1])
     per_block = max(1, min(block_queries, BLOCK_BYTES // (8 * dim)))
     blocks = max(1, -(-total // per_block))
     block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    table = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "source", "chunk", "vec")
+    table = chunks.where(F.col("vec").isNotNull()).select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "source", "chunk", "vec")
     found = []
     for b in range(blocks):
         rows = asked.where(block_of == b).orderBy("query_id").collect()

@@ -35,16 +35,18 @@ def list_documents(spark: SparkSession, folders: Sequence[str], ordered: bool =
 def document_chunks(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", page: str = "page") -> DataFrame:
     """``chunk_id, source, chunk`` of every non-blank document row.
 
-    With a ``page`` column a row is one page, and (doc_id, page) tells rows apart: its lines are numbered on from the earlier
-    pages' last line, as if the pages were joined (a missing text is one empty line). Ids are unique and in
+    With a ``page`` column a row is one page: its lines are numbered on from the earlier
+    pages' last line, as if the pages were joined (a missing text is one empty line). A page that is repeated with the same text counts once;
+    different texts under one page number are joined in the order of their hashes. Ids are unique and in
     reading order; only line counts are gathered per document, never its text.
     """
     keep = [doc_id, source]
     if page in docs.columns:
-        counts = docs.select(F.col(doc_id).alias("d__"), F.col(page).alias("p__"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n__"))
-        before = Window.partitionBy("d__").orderBy("p__").rowsBetween(Window.unboundedPreceding, -1)
+        docs = docs.withColumn("h__", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([doc_id, page, "h__"])
+        counts = docs.select(F.col(doc_id).alias("d__"), F.col(page).alias("p__"), F.col("h__").alias("g__"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n__"))
+        before = Window.partitionBy("d__").orderBy("p__", "g__").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.withColumn("start__", F.coalesce(F.sum("n__").over(before), F.lit(0))).drop("n__")
-        docs = docs.join(starts, (F.col(doc_id) == F.col("d__")) & F.col(page).eqNullSafe(F.col("p__")))
+        docs = docs.join(starts, (F.col(doc_id) == F.col("d__")) & F.col(page).eqNullSafe(F.col("p__")) & (F.col("h__") == F.col("g__")))
         keep.append("start__")
     lines = chunk_lines(docs.where(~is_blank(F.col(text))), text, keep)
     line = F.col("line") + F.col("start__") if page in docs.columns else F.col("line")

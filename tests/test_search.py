@@ -8,7 +8,8 @@ from plantlens.functions.vectors import dot, l2_norm, l2_normalise
 from plantlens.operators import search
 from plantlens.operators.embed import embed_column, hashing_embedder
 from plantlens.sources.documents import document_chunks, list_documents
-from plantlens.sources.index import build_index, index_exists, ingest, read_index, remove_document
+from plantlens.sources import index as stored
+from plantlens.sources.index import build_index, compact, index_exists, ingest, orphan_batches, read_documents, read_index, remove_document
 
 
 def unit(m):
@@ -208,3 +209,48 @@ def test_pages_and_chunkless_documents(spark, tmp_path):
     assert chunks == {f"{line} one": 0, f"{line} two": 4}
     saved, skipped = ingest(pages, path, embed)
     assert saved.count() == 0 and sorted(tuple(r) for r in skipped.collect()) == [("a.pdf", 1), ("b.pdf", 2)]
+
+
+@pytest.mark.parametrize("broken", ["_record", "_commit"])
+def test_upload_that_stops_between_its_writes(spark, tmp_path, monkeypatch, broken):
+    path, embed = str(tmp_path / "kb"), hashing_embedder(16)
+    line = "the valve must be inspected every second week "
+    frame = spark.createDataFrame([(i, f"{i}.pdf", f"{line}{i}\n{line}again {i}") for i in range(5)], "doc_id bigint, source string, text string")
+    ingest(frame.where("doc_id < 2"), path, embed)
+    with monkeypatch.context() as patch:
+        patch.setattr(stored, broken, lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError, match="lost"):
+            ingest(frame, path, embed)
+    assert orphan_batches(spark, path) == [1] and read_index(spark, path).count() == 4
+    saved, skipped = ingest(frame, path, embed)
+    assert (saved.count(), skipped.count()) == (3, 2)
+    for turn in range(2):
+        ids = [r["chunk_id"] for r in read_index(spark, path).collect()]
+        assert len(ids) == len(set(ids)) == 10 and read_documents(spark, path).count() == 5
+        if turn == 0:
+            remove_document(spark, path, "4.pdf")
+            ingest(frame.where("doc_id = 4"), path, embed)
+            compact(spark, path)
+    assert orphan_batches(spark, path) == [] and len(list((tmp_path / "kb" / "chunks").glob("batch=*"))) == 1
+    assert not build_index(frame.limit(0), path, embed) and read_index(spark, path).count() == 10
+
+
+def test_missing_names_ids_and_vectors(spark, tmp_path):
+    path, embed = str(tmp_path / "kb"), hashing_embedder(16)
+    line = "the valve must be inspected every second week "
+    frame = spark.createDataFrame([(1, None, line), (None, "x.pdf", line), (2, "a.pdf", line), (None, None, None)], "doc_id bigint, source string, text string")
+    for turn in range(2):
+        saved, skipped = ingest(frame, path, embed)
+        assert [tuple(r) for r in saved.collect()] == ([("a.pdf", 2)] if turn == 0 else [])
+        assert skipped.count() == 3 + turn and read_index(spark, path).count() == 1
+    chunks = read_index(spark, path)
+    asked = embed_column(spark.createDataFrame([(1, line)], "query_id int, t string"), "t", embed).unionByName(spark.createDataFrame([(2, "t", None)], "query_id int, t string, vec array<float>"))
+    holes = chunks.unionByName(spark.createDataFrame([(77, "n.pdf", "c", None)], "chunk_id bigint, source string, chunk string, vec array<float>"))
+    assert [(r["query_id"], r["source"]) for r in search.top_k(holes, asked).collect()] == [(1, "a.pdf")]
+
+
+def test_repeated_pages_count_once(spark):
+    line = "a line that is long enough to become a chunk of its own"
+    rows = [(1, "a.pdf", 0, f"{line} 1"), (1, "a.pdf", 0, f"{line} 1"), (1, "a.pdf", 0, f"{line} other"), (1, "a.pdf", None, f"{line} 0"), (1, "a.pdf", 1, None), (1, "a.pdf", 1, None), (1, "a.pdf", 2, f"{line} 2")]
+    got = document_chunks(spark.createDataFrame(rows, "doc_id bigint, source string, page int, text string")).collect()
+    assert sorted(r["chunk_id"] - (1 << 31) for r in got) == [0, 1, 2, 4] and {r["chunk"][-1] for r in got} == {"0", "1", "r", "2"}
