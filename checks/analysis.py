@@ -4,38 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import SQL_POINTS, energy_sql, point_table, query, r4, s4, sql_uniform, table
+from checks.base import SQL_POINTS, energy_sql, point_table, query, r4, s4, sql_permuted, sql_uniform, table
 from checks.tables import SIGNALS_SQL
 from plantlens.functions import features as feat
 from plantlens.functions import scalar
+from plantlens.functions.hashing import permuted
 from plantlens.operators import skyline, whatif
 from plantlens.operators.grid import SEARCH_BOUNDS, best_candidate, stratified_grid
 from plantlens.operators.scoring import RAW_DEFAULTS, column_scorer, complete_points, score_tasks
+from plantlens.operators.splits import sample_grid
 from plantlens.plans.pareto import pareto_points
 
 # ---------------------------------------------------------------- candidate grid
 
 
-def _sql_shift(name: str, seed: int = 42) -> str:
-    return f"(('0x' || substr(md5('{seed}-{name}'), 8, 7))::BIGINT % n)"
-
-
-def _sql_step(name: str, seed: int = 42) -> str:
-    """First multiplier at or above the hashed one that shares no divisor with n."""
-    first = f"(('0x' || substr(md5('{seed}-{name}'), 1, 7))::BIGINT % n)"
-    return f"(SELECT min(s) FROM (SELECT {first} + i AS s FROM range(200) r(i)) WHERE gcd(s, n) = 1)"
-
-
 def sql_grid(rows: str, key: str) -> str:
-    """The stratified grid over ``rows`` with keys 0..n-1."""
-    steps = ", ".join(f"{_sql_step(c)} AS step_{c}, {_sql_shift(c)} AS shift_{c}" for c in SEARCH_BOUNDS)
+    """The stratified grid over ``rows`` with keys that give each remainder of n once."""
     columns = ", ".join(
-        f"{lo}::DOUBLE + ((((step_{c} * {key} + shift_{c}) % n)::DOUBLE + {sql_uniform(f'42-{c}', key)}) / n::DOUBLE)"
-        f" * ({hi}::DOUBLE - {lo}::DOUBLE) AS {c}"
+        f"max(CASE WHEN name = '{c}' THEN {lo}::DOUBLE + ((x::DOUBLE + {sql_uniform(f'42-{c}', 'id')}) / n::DOUBLE) * ({hi}::DOUBLE - {lo}::DOUBLE) END) AS {c}"
         for c, (lo, hi) in SEARCH_BOUNDS.items()
     )
-    return f"""(SELECT {key} AS point_id, {columns} FROM {rows},
-       (SELECT n, {steps} FROM (SELECT count(*) AS n FROM {rows})))"""
+    return f"(SELECT id AS point_id, {columns} FROM {sql_permuted(rows, key, f'SELECT count(*) FROM {rows}', list(SEARCH_BOUNDS))} GROUP BY id)"
 
 
 GRID = sql_grid("part", "p_partkey")
@@ -61,6 +50,37 @@ def lhs_strata(spark, sf):
     return grid.agg(F.count("*").alias("n_points"), F.count_distinct(spot).alias("load_strata"))
 
 
+@query(
+    f"""SELECT a, b, count(*) AS n_points, sum(x * y) AS products FROM (SELECT *, x * 10 // n AS a, y * 10 // n AS b FROM
+      (SELECT id, max(n) AS n, max(x) FILTER (name = 'one') AS x, max(x) FILTER (name = 'two') AS y
+       FROM {sql_permuted('orders', 'o_orderkey', 'SELECT count(*) FROM orders', ['one', 'two'])} GROUP BY id)) GROUP BY a, b"""
+)
+def permuted_orders(spark, sf):
+    """Two keyed permutations of the orders: how many fall into each cell of a ten by ten grid."""
+    orders = table(spark, sf, "orders")
+    n = orders.count()
+    both = orders.select(permuted(F.col("o_orderkey"), n, "one", 42).alias("x"), permuted(F.col("o_orderkey"), n, "two", 42).alias("y"))
+    cell = lambda c: F.floor(F.col(c) * 10 / n).cast("bigint")
+    return both.groupBy(cell("x").alias("a"), cell("y").alias("b")).agg(F.count("*").alias("n_points"), F.sum(F.col("x") * F.col("y")).alias("products"))
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT DISTINCT p_brand FROM part), z AS (SELECT DISTINCT p_size FROM part), m AS (SELECT DISTINCT c_mktsegment FROM customer),
+    g AS (SELECT (SELECT list(p_brand ORDER BY p_brand) FROM b) AS brands, (SELECT list(p_size ORDER BY p_size) FROM z) AS sizes, (SELECT list(c_mktsegment ORDER BY c_mktsegment) FROM m) AS segments),
+    d AS (SELECT id, x FROM {sql_permuted('(SELECT unnest(range(300)) AS i)', 'i', '(SELECT count(*) FROM b) * (SELECT count(*) FROM z) * (SELECT count(*) FROM m)', ['draw'])}),
+    s AS (SELECT brands[x % len(brands) + 1] AS brand, sizes[(x // len(brands)) % len(sizes) + 1] AS size, segments[x // (len(brands) * len(sizes)) + 1] AS segment FROM d, g)
+    SELECT brand, size, segment, (SELECT count(*) FROM part WHERE p_brand = brand AND p_size = size) AS n FROM s"""
+)
+def seeded_grid_draw(spark, sf):
+    """300 settings drawn without replacement from a product of three tables' values; each counts the parts it fits."""
+    part, customer = table(spark, sf, "part"), table(spark, sf, "customer")
+    listed = lambda t, c: [r[0] for r in t.select(c).distinct().orderBy(c).collect()]
+    grid = {"brand": listed(part, "p_brand"), "size": listed(part, "p_size"), "segment": listed(customer, "c_mktsegment")}
+    drawn = spark.createDataFrame([(c["brand"], c["size"], c["segment"]) for c in sample_grid(grid, 300)], "brand string, size int, segment string")
+    met = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).agg(F.count("*").alias("n"))
+    return drawn.join(met, ["brand", "size"], "left").select("brand", "size", "segment", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query(
     f"""WITH s AS (SELECT point_id, p_brand, {energy_sql()} AS score FROM {GRID} JOIN part ON point_id = p_partkey)
     SELECT p_brand, point_id, {s4('score')} AS score FROM s

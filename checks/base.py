@@ -52,6 +52,18 @@ def sql_uniform(seed: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}-' || {key}::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
+def sql_permuted(rows: str, key: str, n: str, names: list[str], seed: int = 42) -> str:
+    """(id, name, x): the place of ``key`` in the keyed permutation of each name, by a recursive walk."""
+    left, right = "(x // a)", "(x % a)"
+    for step in range(1, 5):
+        digest = f"('0x' || substr(md5('{seed}-' || name || '-{step}-' || {right}::VARCHAR), 1, 7))::BIGINT"
+        left, right = right, f"(({left} + {digest}) % a)"
+    turn = f"{left} * a + {right}"
+    listed = ", ".join(f"('{name}')" for name in names)
+    return f"""(WITH RECURSIVE s AS (SELECT {key} AS id, name, {key}::BIGINT % n AS x, n, ceil(sqrt(n))::BIGINT AS a FROM {rows}, (SELECT ({n})::BIGINT AS n), (VALUES {listed}) d(name)),
+      w AS (SELECT id, name, {turn} AS x, n, a FROM s UNION ALL SELECT id, name, {turn}, n, a FROM w WHERE x >= n) SELECT id, name, x, n FROM w WHERE x < n)"""
+
+
 SENSOR_RANGES = {
     "cycle_time": (20.0, 80.0),
     "axis_speed": (0.2, 3.0),

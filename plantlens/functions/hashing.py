@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -29,6 +30,60 @@ def uniforms4(text: Column) -> list[Column]:
     return [(hex_number(text, 1 + 8 * i, 8).cast("double") + 0.5) / F.lit(HEX_8) for i in range(4)]
 
 
+ROUNDS = 4
+
+
+def _side(n: int) -> int:
+    """The least side of a square that holds n numbers."""
+    return math.isqrt(max(n, 1) - 1) + 1
+
+
+def _walks(n: int) -> int:
+    """Steps after which every walk is back among the n numbers.
+
+    A walk passes each of the square's other numbers at most once. They are few (2 in the square root of n), so for large n far fewer steps do, but for a
+    chance of 1e-15; a walk that were longer ends in an error, never in a wrong number.
+    """
+    outside = _side(n) ** 2 - n
+    return outside if n < 100 else min(outside, math.ceil(math.log(1e15 * n) / math.log(math.sqrt(n) / 2)))
+
+
+def permuted(row: Column, n: int, name: str, seed: int) -> Column:
+    """The place of ``row`` (0 to n-1) in a keyed permutation of n numbers, without a shuffle.
+
+    A Feistel network on the two digits of a square of numbers, with digests as round functions; a number that falls outside
+    is sent on until it falls inside (cycle walking), which keeps the mapping one to one.
+    """
+    side = F.lit(_side(n)).cast("bigint")
+
+    def turn(pair: Column, step: Column) -> Column:
+        part = hex_number(digest(seed, F.lit(name), step, pair["r"]), 1, 7)
+        return F.struct(pair["r"].alias("l"), ((pair["l"] + part) % side).alias("r"))
+
+    def network(x: Column) -> Column:
+        start = F.struct(F.floor(x / side).cast("bigint").alias("l"), (x % side).alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda p: p["l"] * side + p["r"])
+
+    inside = lambda x: x < F.lit(n)
+    start = network(F.pmod(row.cast("bigint"), F.lit(n).cast("bigint")))
+    steps = _walks(n)
+    if steps:
+        start = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda x, _: F.when(inside(x), x).otherwise(network(x)))
+    return F.when(inside(start), start).otherwise(F.raise_error(F.lit("a walk of the permutation is too long; take another seed")).cast("bigint"))
+
+
+def permuted_number(i: int, n: int, name: str, seed: int) -> int:
+    """``permuted`` for one number on the driver."""
+    side, x = _side(n), i
+    while True:
+        left, right = divmod(x, side)
+        for step in range(1, ROUNDS + 1):
+            left, right = right, (left + int(hashlib.md5(f"{seed}-{name}-{step}-{right}".encode()).hexdigest()[:7], 16)) % side
+        x = left * side + right
+        if x < n:
+            return x
+
+
 def normals4(text: Column) -> list[Column]:
     """Four standard normal draws from one digest (Box-Muller on two pairs)."""
     u = uniforms4(text)

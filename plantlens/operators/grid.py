@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.functions.hashing import uniform
+from plantlens.functions.hashing import permuted, uniform
 
 # Search bounds of the four operating inputs.
 SEARCH_BOUNDS = {
@@ -20,20 +18,6 @@ SEARCH_BOUNDS = {
 }
 
 
-def _step_and_shift(n: int, name: str, seed: int) -> tuple[int, int]:
-    """Multiplier coprime to ``n`` and offset: i -> (step * i + shift) mod n is a permutation."""
-    text = hashlib.md5(f"{seed}-{name}".encode()).hexdigest()
-    step = int(text[:7], 16) % n if n > 1 else 1
-    while math.gcd(step, n) != 1:
-        step += 1
-    return step, int(text[7:14], 16) % max(n, 1)
-
-
-def stratum(row: Column, n: int, name: str, seed: int) -> Column:
-    step, shift = _step_and_shift(n, name, seed)
-    return F.pmod(F.lit(step) * row + F.lit(shift), F.lit(n))
-
-
 def stratified_grid(
     ids: DataFrame,
     n: int,
@@ -41,12 +25,12 @@ def stratified_grid(
     id_column: str = "id",
     seed: int = 42,
 ) -> DataFrame:
-    """One point per id 0..n-1; in every dimension each of the n equal strata holds exactly one."""
+    """One point per id 0..n-1; in every dimension each of the n equal strata holds exactly one, in an order of its own."""
     if n > 3_000_000_000:
         raise ValueError("the stratum arithmetic is exact up to 3e9 points")
     columns = {}
     for name, (lo, hi) in bounds.items():
-        spot = (stratum(F.col(id_column), n, name, seed).cast("double") + uniform(f"{seed}-{name}", id_column)) / F.lit(float(n))
+        spot = (permuted(F.col(id_column), n, name, seed).cast("double") + uniform(f"{seed}-{name}", id_column)) / F.lit(float(n))
         columns[name] = F.lit(lo) + spot * F.lit(hi - lo)
     return ids.select(id_column).withColumns(columns)
 

@@ -7,14 +7,13 @@ split is a comparison per row: no global sort, no window, no shuffle of rows.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.functions.hashing import uniform
+from plantlens.functions.hashing import permuted_number, uniform
 from plantlens.operators.quantiles import RankRule, order_statistics
 from plantlens.session import settle
 
@@ -70,11 +69,11 @@ def assign_folds(df: DataFrame, key: str, folds: int = FOLDS, by: Sequence[str]
 def sample_grid(grid: dict[str, Sequence], draws: int, seed: int = SEED) -> list[dict]:
     """Seeded draw without replacement from a hyper-parameter product; the whole grid when smaller.
 
-    Combinations are addressed by index, so the product is never built.
+    Combinations are addressed by index, the first ones of a keyed permutation, so the product is never built.
     """
     names = list(grid)
     total = math.prod(len(grid[n]) for n in names)
-    picks = range(total) if draws >= total else random.Random(seed).sample(range(total), draws)
+    picks = range(total) if draws >= total else [permuted_number(i, total, "draw", seed) for i in range(draws)]
     combos = []
     for index in picks:
         combo = {}

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plantlens.functions.hashing import permuted, permuted_number
 from plantlens.operators import metrics, profile, splits
 from plantlens.operators.grid import SEARCH_BOUNDS, best_candidate, candidate_grid
 from plantlens.operators.scoring import RAW_DEFAULTS, column_scorer, complete_points, score_points, score_tasks
@@ -154,3 +155,16 @@ def test_completion_and_scoring(spark):
     assert score_points(points, None) is None
     scored = score_tasks(points, {"energy": column_scorer(F.lit(-1.0)), "emission": column_scorer(F.lit("Low"))}, lambda d, t: d)
     assert [(r["energy"], r["emission"]) for r in scored.collect()] == [(0.01, "Low")] * 2
+
+
+def test_permutations_are_exact_and_even(spark):
+    for n in (1, 2, 3, 4, 5, 45, 99, 101, 2000):
+        rows = spark.range(n).select(*[permuted(F.col("id"), n, name, 42).alias(name) for name in ("a", "b", "c")]).toPandas()
+        assert all(sorted(rows[c]) == list(range(n)) for c in rows)
+        assert rows["a"].tolist() == [permuted_number(i, n, "a", 42) for i in range(n)]
+        if n == 45:
+            assert all(abs(rows[x].corr(rows[y])) < 0.35 for x, y in (("a", "b"), ("a", "c"), ("b", "c")))
+        if n == 2000:
+            cells = len(set(zip(rows["a"] * 22 // n, rows["b"] * 22 // n, strict=True)))
+            assert abs(rows["a"].corr(rows["b"])) < 0.07 and cells > 0.96 * 484
+    assert permuted_number(123_456_789, 3_000_000_000, "a", 1) != permuted_number(123_456_789, 3_000_000_000, "a", 2)
