@@ -292,7 +292,26 @@ def named_documents(spark, sf):
     return search.mentioned_documents(_centres(spark, sf), _chunks(spark, sf).select("source"), ratio=None)
 
 
-@query()
+def _similar_sql(asked: str, names: str, ratio: int) -> str:
+    """Every distinct name with every distinct question: common subsequences of all windows by bit vectors (names of up to 120 characters)."""
+    one = "1::UHUGEINT"
+    masks = f"""list_transform(range(1, len(long) + 1), lambda j: list_reduce(list_transform(range(1, len(short) + 1), lambda i:
+        CASE WHEN substr(short, i, 1) = substr(long, j, 1) THEN {one} << (i - 1)::UHUGEINT ELSE 0::UHUGEINT END), lambda a, b: a | b))"""
+    step = "((v + (v & h)) | (v - (v & h))) & ones"
+    return f"""WITH d AS (SELECT DISTINCT source, replace(lower(source), '.pdf', '') AS stem FROM {names}), a AS (SELECT query_id, lower(text) AS q FROM {asked}),
+      s AS (SELECT DISTINCT stem FROM d), t AS (SELECT DISTINCT q FROM a),
+      r AS (SELECT stem, q, stem AS short, q AS long FROM s, t WHERE len(stem) <= len(q) UNION ALL SELECT stem, q, q, stem FROM s, t WHERE len(q) <= len(stem)),
+      b AS (SELECT stem, q, len(short) AS m, len(long) AS n, {masks} AS hit, ({one} << len(short)::UHUGEINT) - {one} AS ones FROM r),
+      w AS (SELECT stem, q, m, ones, hit[greatest(0, e - m) + 1 : least(e, n)] AS part FROM (SELECT *, unnest(range(1, n + m)) AS e FROM b)),
+      l AS (SELECT stem, q, 200.0::DOUBLE * (m - bit_count(list_reduce(part, lambda v, h: {step}, ones)::BIT)) / (m + len(part)) AS likeness FROM w),
+      p AS (SELECT stem, q FROM l GROUP BY 1, 2 HAVING round_even(max(likeness), 0) > {ratio})
+      SELECT query_id, source FROM p JOIN a USING (q) JOIN d USING (stem)"""
+
+
+MISSPELT_SQL = "(SELECT p_partkey AS query_id, 'where is the manual of the ' || replace(p_name, 'e', '') AS text FROM part)"
+
+
+@query(_similar_sql(MISSPELT_SQL, "(SELECT p_name || '.pdf' AS source FROM part)", search.MENTION_RATIO))
 def similar_documents(spark, sf):
     """Misspelt part names in questions against documents named after the parts."""
     part = table(spark, sf, "part")

@@ -33,6 +33,10 @@ SCORE_UNIT = 1e6
 PUSHED_NAMES = 1_000
 # Documents with their question lists that may be broadcast; more are joined by shuffle.
 LISTED_DOCUMENTS = 2_000
+# Pieces of names that may be broadcast; more are joined by shuffle.
+PIECE_ROWS = 100_000
+# Least characters of a text that one tile of it is searched for.
+TILE = 64
 
 
 def _scan(query_ids: np.ndarray, matrix: np.ndarray, restricted: np.ndarray, k: int, threshold: float):
@@ -190,15 +194,16 @@ def partial_similarity(a: str, b: str, needed: int = 0) -> int:
     return round(best)
 
 
-def _best_window(short: str, long: str, needed: int) -> float:
-    m, n = len(short), len(long)
+def _best_window(short: str, long: str, needed: int, lo: int = 0, n: int | None = None, ends: range | None = None) -> float:
+    """Best similarity of ``short`` with the windows that end at ``ends``; ``long`` holds a text of ``n`` characters from ``lo`` on."""
+    m, n = len(short), len(long) if n is None else n
     bits: dict[str, int] = {}
     for i, char in enumerate(short):
         bits[char] = bits.get(char, 0) | (1 << i)
     shared = np.concatenate([[0], np.cumsum([c in bits for c in long])])
     best = 0.0
-    for end in range(1, n + m):
-        start, stop = max(0, end - m), min(end, n)
+    for end in range(1, n + m) if ends is None else ends:
+        start, stop = max(0, end - m) - lo, min(end, n) - lo
         total = m + stop - start
         bound = 200.0 * min(int(shared[stop] - shared[start]), m) / total
         if bound > best and round(bound) > needed:
@@ -206,37 +211,111 @@ def _best_window(short: str, long: str, needed: int) -> float:
     return best
 
 
+def _pieces(shorts: DataFrame, ratio: int) -> DataFrame:
+    """(short_id, short, m, pairs, needed, piece): each short text cut into one piece more than it may have edits.
+
+    A similarity above ``ratio`` leaves at most m * (199 - 2 ratio) / 100 characters unmatched in text and window together, and
+    each spoils one piece, so one piece stands unchanged in the window. An unmatched character of the text
+    spoils two of its character pairs, one of the window spoils one; at least ``needed`` pairs stand in the window.
+    """
+    m, top = F.col("m"), 2 * ratio + 1
+    count = (F.floor(m * (199 - 2 * ratio) / 100.0) + 1).cast("int")
+    lost = F.greatest(F.floor(m * (4 * (200 - top)) / float(400 - top)), F.floor(m * (3 * (200 - top)) / 200.0))
+
+    def piece(i: Column) -> Column:
+        at, stop = F.floor(i * m / F.col("p")).cast("int"), F.floor((i + 1) * m / F.col("p")).cast("int")
+        return F.substring(F.col("short"), at + 1, stop - at)
+
+    pairs = F.transform(F.sequence(F.lit(1), m - 1), lambda i: F.substring(F.col("short"), i, F.lit(2)))
+    sized = shorts.withColumn("p", count).withColumn("pairs", F.when(m > 1, pairs).otherwise(F.array().cast("array<string>")))
+    cut_up = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("p") - 1), piece))
+    return sized.select("short_id", "short", "m", "pairs", (m - 1 - lost).alias("needed"), F.explode(cut_up).alias("piece"))
+
+
+def _reaching(ratio: int):
+    """Candidates whose piece lies in a window more similar than ``ratio``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            keep = [
+                round(_best_window(short, region, ratio, lo, n, range(x + size, x + len(short) + 1))) > ratio
+                for short, region, lo, n, x, size in zip(*(rows[c] for c in ["short", "region", "lo", "n", "x", "size"]))
+            ]
+            yield batch.select(["short_id", "long_id"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _similar_within(shorts: DataFrame, longs: DataFrame, ratio: int) -> DataFrame | None:
+    """(short_id, long_id) of texts where a window of the long one, at least as long as the short one, is similar to it.
+
+    ``shorts``: short_id, short; ``longs``: long_id, long; both distinct. Pieces of the short texts meet all substrings of
+    their sizes by an equality join; the pairs of characters around each meeting are counted, and what is left is aligned.
+    Long texts are cut into overlapping tiles, so no row holds more than three times the longest short text.
+    """
+    reach = longs.agg(F.max(F.length("long"))).first()[0] or 0
+    fitting = shorts.withColumn("m", F.length("short")).where((F.col("m") > 0) & (F.col("m") <= reach))
+    least, most = fitting.agg(F.min("m"), F.max("m")).first()
+    if most is None:
+        return None
+    pieces = _pieces(fitting, ratio)
+    sizes = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
+    count, width = pieces.agg(F.count("*"), F.sum(8 * F.col("m"))).first()
+    if count <= PIECE_ROWS and width <= BLOCK_BYTES:
+        pieces = F.broadcast(pieces)
+    step = max(TILE, most)
+    n, core = F.length("long"), F.col("j") * step
+    tiles = (
+        longs.where(n >= least)
+        .select("long_id", "long", n.alias("n"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))).alias("j"))
+        .withColumn("lo", F.greatest(F.lit(0), core - most))
+        .select("long_id", "n", "j", "lo", F.substring(F.col("long"), F.col("lo") + 1, core + step + most - F.col("lo")).alias("part"))
+    )
+    spots = tiles.select("long_id", "n", "lo", "part", F.explode(F.sequence(core, F.least(core + step, F.col("n")) - 1)).alias("x"))
+    strings = F.array_distinct(F.array(*[F.substring(F.col("part"), F.col("x") - F.col("lo") + 1, F.lit(s)) for s in sizes]))
+    met = spots.withColumn("piece", F.explode(strings)).join(pieces, "piece").where(F.col("m") <= F.col("n"))
+    size, m, x = F.length("piece"), F.col("m"), F.col("x")
+    first, last = F.greatest(F.lit(0), x + size - m), F.least(F.col("n"), x + m)
+    near = met.select(
+        "short_id", "long_id", "short", "pairs", "needed", "n", "x", size.alias("size"), first.alias("lo"),
+        F.substring(F.col("part"), first - F.col("lo") + 1, last - first).alias("region"),
+    )
+    kept = near.where(F.size(F.filter("pairs", lambda g: F.contains(F.col("region"), g))) >= F.col("needed"))
+    kept = kept.select("short_id", "long_id", "short", "region", "lo", "n", "x", "size")
+    return kept.mapInArrow(_reaching(ratio), "short_id bigint, long_id bigint").distinct()
+
+
 def similar_documents(queries: DataFrame, sources: DataFrame, ratio: int = MENTION_RATIO) -> DataFrame:
-    """(query_id, source) where the stem's partial similarity with the question exceeds ``ratio``.
+    """(query_id, source) where the stem's partial similarity with the question exceeds ``ratio`` (50 to 99).
 
-    Distinct documents are streamed past blocks of distinct questions; only matches leave the tasks.
+    Whichever text is shorter is looked for in the other, so both are indexed once as the short and once as the long side.
+    A NULL name or question is similar to nothing, an empty one only to an empty one. No text passes through the driver.
     """
+    if not 50 <= ratio < 100:
+        raise ValueError("ratio must lie between 50 and 99")
     stems = sources.select("source").distinct().withColumn("stem", document_stem(F.col("source")))
     lowered = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.lower("text").alias("q"))
-    asked = cut(lowered.select("q").where(F.col("q").isNotNull()).distinct())
-    count, size = asked.agg(F.count("*"), F.sum(F.length("q"))).first()
-    blocks = max(1, -(-count // BLOCK_QUERIES), -(-int(size or 0) * 4 // BLOCK_BYTES))
-    block_of = F.pmod(F.xxhash64("q"), F.lit(blocks))
-    tasks = int(stems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut(stems.repartition(tasks, "source"))
-
-    def matcher(texts: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for name, stem in zip(batch.column("source").to_pylist(), batch.column("stem").to_pylist()):
-                    hits = [text for text in texts if partial_similarity(stem, text, ratio) > ratio]
-                    yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string()), pa.array([name] * len(hits), pa.string())], names=["q", "source"])
-
-        return run
 
-    found = []
-    for b in range(blocks):
-        texts = [r["q"] for r in asked.where(block_of == b).collect()]
-        if texts:
-            found.append(spread.mapInArrow(matcher(texts), "q string, source string"))
-    if not found:
-        return lowered.select("query_id", F.lit(None).cast("string").alias("source")).limit(0)
-    return lowered.join(reduce(DataFrame.unionByName, found), "q").select("query_id", "source")
+    def numbered(texts: DataFrame, name: str) -> DataFrame:
+        # Written once, so a number stays with its text.
+        return cut(texts.select(name).where(F.col(name).isNotNull()).distinct().withColumn(f"{name}_id", F.monotonically_increasing_id()))
+
+    names, asked = numbered(stems, "stem"), numbered(lowered, "q")
+
+    def as_side(texts: DataFrame, name: str, side: str) -> DataFrame:
+        return texts.select(F.col(f"{name}_id").alias(f"{side}_id"), F.col(name).alias(side))
+
+    ids = []
+    for short, long in [("stem", "q"), ("q", "stem")]:
+        tables = {"stem": names, "q": asked}
+        found = _similar_within(as_side(tables[short], short, "short"), as_side(tables[long], long, "long"), ratio)
+        if found is not None:
+            ids.append(found.select(F.col("short_id").alias(f"{short}_id"), F.col("long_id").alias(f"{long}_id")).select("stem_id", "q_id"))
+    pairs = names.where("stem = ''").join(asked.withColumnRenamed("q", "stem"), "stem").select("stem_id", "q_id")
+    pairs = reduce(DataFrame.unionByName, ids, pairs).distinct()
+    texts = pairs.join(names, "stem_id").join(asked, "q_id").select("stem", "q")
+    return lowered.join(texts, "q").join(stems, "stem").select("query_id", "source")
 
 
 def mentioned_documents(queries: DataFrame, sources: DataFrame, ratio: int | None = MENTION_RATIO) -> DataFrame:
