@@ -93,7 +93,7 @@ def _sql() -> str:
       l AS (SELECT doc_id, 'line' AS unit, unnest(range(len(s))) AS place, unnest(s) AS part FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
       p AS (SELECT doc_id, 'paragraph' AS unit, unnest(range(len(s))) AS place, unnest(s) AS part FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS s FROM documents)),
       u AS (SELECT *, {w('part')} AS w FROM (SELECT * FROM l UNION ALL SELECT * FROM p WHERE contains(part, chr(10)))),
-      g AS (SELECT *, {grams('w')} AS grams FROM u WHERE len(w) BETWEEN 2 AND 2000)
+      g AS (SELECT *, {grams('w')} AS grams FROM u WHERE len(w) >= 2)
       SELECT doc_id, unit, place::BIGINT AS place, license_id, template::BIGINT AS template,
         2.0::DOUBLE * len(list_intersect(grams, t_grams)) / (len(grams) + len(t_grams)) AS dice
       FROM g, t WHERE 2.0::DOUBLE * len(list_intersect(grams, t_grams)) / (len(grams) + len(t_grams)) >= {THRESHOLD}"""
