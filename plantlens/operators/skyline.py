@@ -13,15 +13,18 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.operators.quantiles import quantiles
 from plantlens.session import cut, settle
 
 BLOCK_ROWS = 8_192
 RIVALS = 128
 WINDOW_ROWS = 200_000
+# Slices, and rows, that one task puts in order.
+SLICES = 64
+RANGE_ROWS = 500_000
 
 
 def _beaten(rows: np.ndarray, rivals: np.ndarray) -> np.ndarray:
@@ -175,21 +178,50 @@ def front_ranks(
     return df.join(right, on, "left").select(*df.columns, level.cast("int").alias("front"))
 
 
-def _neighbours(ties: DataFrame, window_rows: int, most_values: int) -> DataFrame:
+def _between(window_rows: int):
+    """Arrow batches in the order (objective, value) to the same rows with the values before and after them in this partition.
+
+    A task holds one slice of at most ``window_rows`` rows at a time; a slice's last row waits for the next slice.
+    """
+
+    def near(rows: pa.Table, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+        names, values = rows.column("objective").to_pylist(), rows.column("value").to_pylist()
+        keys = [before, *zip(names, values), after]
+
+        def moved(others: list) -> pa.Array:
+            return pa.array([o[1] if o is not None and o[0] == name else None for o, name in zip(others, names)], pa.float64())
+
+        columns = [rows.column(c).combine_chunks() for c in ("objective", "value", "first_key", "last_key")]
+        part = pa.array(np.full(len(names), TaskContext.get().partitionId(), dtype="int32"))
+        return pa.RecordBatch.from_arrays([*columns, moved(keys[:-2]), moved(keys[2:]), part], names=["objective", "value", "first_key", "last_key", "before", "after", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held = None, None
+        pair = lambda rows, i: (rows.column("objective")[i].as_py(), rows.column("value")[i].as_py())
+        for batch in batches:
+            for start in range(0, batch.num_rows, window_rows):
+                rows = pa.Table.from_batches([batch.slice(start, window_rows)])
+                if held is not None:
+                    yield near(held, before, pair(rows, 0))
+                    before = pair(held, held.num_rows - 1)
+                held = rows
+        if held is not None:
+            yield near(held, before, None)
+
+    return run
+
+
+def _neighbours(ties: DataFrame, window_rows: int) -> DataFrame:
     """Previous and next distinct value per objective.
 
-    Long value lists are cut at exact quantiles into slices of at most ``window_rows``; the
-    slices' end values are stitched together.
+    The value lists are dealt in ranges over tasks that go through them in slices of at most ``window_rows``; the ranges' end
+    values are stitched together.
     """
-    slices = -(-most_values // window_rows)
-    if slices <= 1:
-        order = Window.partitionBy("objective").orderBy("value")
-        return ties.withColumns({"before": F.lag("value").over(order), "after": F.lead("value").over(order)})
-    cuts = quantiles(ties, ["value"], [i / slices for i in range(1, slices)], ["objective"])
-    cuts, _ = settle(cuts.select(F.col("objective").alias("o"), "q"))
-    part = F.size(F.filter("q", lambda s: s <= F.col("value")))
-    sliced = ties.join(cuts, F.col("objective") == F.col("o")).withColumn("part", part).drop("o", "q")
-    ends = sliced.groupBy("objective", "part").agg(F.min("value").alias("first"), F.max("value").alias("last"))
+    ranges = -(-ties.count() // min(SLICES * window_rows, RANGE_ROWS)) or 1
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ties.schema) + ", before double, after double, part int"
+    ordered = ties.repartitionByRange(ranges, "objective", "value").sortWithinPartitions("objective", "value")
+    inside = cut(ordered.mapInArrow(_between(window_rows), schema))
+    ends = inside.groupBy("objective", "part").agg(F.min("value").alias("first"), F.max("value").alias("last"))
     across = Window.partitionBy("objective").orderBy("part")
     edges, _ = settle(
         ends.select(
@@ -199,12 +231,22 @@ def _neighbours(ties: DataFrame, window_rows: int, most_values: int) -> DataFram
             F.lead("first").over(across).alias("right_edge"),
         )
     )
-    order = Window.partitionBy("objective", "part").orderBy("value")
-    inside = sliced.withColumns({"b": F.lag("value").over(order), "a": F.lead("value").over(order)})
     joined = inside.join(edges, (F.col("objective") == F.col("o")) & (F.col("part") == F.col("p")))
-    return joined.withColumns(
-        {"before": F.coalesce("b", "left_edge"), "after": F.coalesce("a", "right_edge")}
-    ).drop("o", "p", "part", "a", "b", "left_edge", "right_edge")
+    return joined.withColumns({"before": F.coalesce("before", "left_edge"), "after": F.coalesce("after", "right_edge")}).drop("o", "p", "part", "left_edge", "right_edge")
+
+
+def _end_gaps(near: DataFrame, span: Column) -> DataFrame:
+    """(o__, v__, k__, gap): the gaps of the first and the last key of each run of equal values; all rows between have none."""
+    inf = F.lit(float("inf"))
+
+    def gap(previous: Column, following: Column) -> Column:
+        return F.when(previous.isNull() | following.isNull(), inf).otherwise((following - previous) / span)
+
+    value, one = F.col("value"), F.col("first_key") == F.col("last_key")
+    first = F.struct(F.col("first_key").alias("k__"), gap(F.col("before"), F.when(one, F.col("after")).otherwise(value)).alias("gap"))
+    last = F.struct(F.col("last_key").alias("k__"), gap(value, F.col("after")).alias("gap"))
+    ends = near.where(F.col("first_key").isNotNull()).select("objective", "value", F.explode(F.when(one, F.array(first)).otherwise(F.array(first, last))).alias("e"))
+    return ends.select(F.col("objective").alias("o__"), F.col("value").alias("v__"), "e.k__", "e.gap")
 
 
 def crowding_distance(
@@ -213,7 +255,8 @@ def crowding_distance(
     """Adds ``crowding``: per cost the gap between a row's sorted neighbours over the cost's span, summed.
 
     The two end rows of each cost are infinite, equal values are ordered by key. Runs of equal
-    values collapse to one row (count, first and last key) before any window. A row with a
+    values collapse to one row (count, first and last key) before any order is made, and only the run's end rows
+    are joined back, by value and key, so a frequent value is dealt over all tasks. A row with a
     missing (NULL or NaN) cost has no neighbours: its distance is 0, and the others do not see it.
     """
     long = front.where(_comparable(costs)).select(F.col(key).alias("key__"), *[F.col(c).cast("double").alias(c) for c in costs]).unpivot(
@@ -222,27 +265,20 @@ def crowding_distance(
     ties = cut(
         long.groupBy("objective", "value").agg(F.min("key__").alias("first_key"), F.max("key__").alias("last_key"))
     )
-    spans = ties.groupBy("objective").agg(
-        F.min("value").alias("lowest"), F.max("value").alias("highest"), F.count("*").alias("n_values")
-    )
-    spans, rows = settle(spans)
-    most = max((r["n_values"] for r in rows or ()), default=0)
-    near = _neighbours(ties, window_rows, most).join(spans.drop("n_values"), "objective")
-    near = near.select(
-        F.col("objective").alias("o__"), F.col("value").alias("v__"), "first_key", "last_key", "before", "after", "lowest", "highest"
-    )
-    inf = F.lit(float("inf"))
-    previous = F.when(F.col("key__") == F.col("first_key"), F.col("before")).otherwise(F.col("value"))
-    following = F.when(F.col("key__") == F.col("last_key"), F.col("after")).otherwise(F.col("value"))
-    span = F.when(F.col("highest") > F.col("lowest"), F.col("highest") - F.col("lowest")).otherwise(F.lit(1.0))
-    gap = F.when(previous.isNull() | following.isNull(), inf).otherwise((following - previous) / span)
+    lowest_highest = ties.groupBy("objective").agg(F.min("value"), F.max("value")).collect()
+    spans = {name: high - low if high > low else 1.0 for name, low, high in lowest_highest}
+    # One literal per cost; a table without rows has none.
+    span = reduce(lambda rest, name: F.when(F.col("objective") == name, F.lit(spans[name])).otherwise(rest), spans, F.lit(1.0))
+    ends = _end_gaps(_neighbours(ties, window_rows), span)
+    inner = (F.col("value") - F.col("value")) / span
+    on = (F.col("objective") == F.col("o__")) & (F.col("value") == F.col("v__")) & (F.col("key__") == F.col("k__"))
     distances = (
-        long.join(near, (F.col("objective") == F.col("o__")) & (F.col("value") == F.col("v__")))
-        .select("key__", gap.alias("gap"))
+        long.join(ends.hint("merge"), on, "left")
+        .select("key__", F.coalesce("gap", inner).alias("gap"))
         .groupBy("key__")
-        .agg(F.sum("gap").alias("crowding"))
+        .agg(F.sum("gap").alias("crowding__"))
     )
-    joined = front.join(distances.withColumnRenamed("crowding", "crowding__"), F.col(key) == F.col("key__"), "left")
+    joined = front.join(distances.hint("merge"), F.col(key) == F.col("key__"), "left")
     return joined.withColumn("crowding", F.coalesce("crowding__", F.lit(0.0))).drop("key__", "crowding__")
 
 

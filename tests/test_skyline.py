@@ -90,3 +90,28 @@ def test_missing_costs_are_beaten_by_nothing(spark):
     ranks = {r["id"]: r["front"] for r in sky.front_ranks(df, ["a", "b"]).collect()}
     assert ranks == {1: 0, 2: 1, 3: 0, 4: 0}
     assert df.where(F.col("a").isNull()).count() == 1
+
+
+def test_crowding_of_a_long_value_list_over_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    costs = np.column_stack([rng.integers(0, 400, 900), rng.integers(0, 3, 900), rng.random(900).round(2)]).astype(float)
+    monkeypatch.setattr(sky, "RANGE_ROWS", 90)
+    got = {r["id"]: r["crowding"] for r in sky.crowding_distance(table(spark, costs), ["a", "b", "c"], "id", 8).collect()}
+    np.testing.assert_allclose([got[i] for i in range(900)], brute_crowding(costs, np.arange(900)), rtol=1e-9)
+
+
+def test_crowding_deals_a_frequent_value_over_the_tasks(spark):
+    """Rows are joined with their neighbours by key too: rows of one value alone do not meet in one task."""
+    df = spark.range(20_000).select("id", F.lit(1.0).alias("a"), F.rand(1).alias("b"))
+    plan = sky.crowding_distance(df, ["a", "b"], "id")._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "value" in line]
+    assert joins and all("key__" in line for line in joins)
+
+
+def test_crowding_with_repeated_missing_and_infinite_rows(spark):
+    inf = float("inf")
+    rows = [(1, 1.0, 5.0), (1, 1.0, 5.0), (2, 2.0, 5.0), (2, 4.0, 7.0), (None, 3.0, 6.0), (3, 3.0, 9.0), (4, inf, 9.5), (5, None, 2.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    got = {(r["id"], r["a"]): r["crowding"] for r in sky.crowding_distance(df, ["a", "b"], "id").collect()}
+    assert len(got) == 7 and got[5, None] == 0.0 and got[None, 3.0] == 0.0
+    assert got[1, 1.0] == got[4, inf] == inf
