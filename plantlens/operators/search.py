@@ -33,8 +33,9 @@ SCORE_UNIT = 1e6
 PUSHED_NAMES = 1_000
 # Documents with their question lists that may be broadcast; more are joined by shuffle.
 LISTED_DOCUMENTS = 2_000
-# Pieces of names that may be broadcast; more are joined by shuffle.
+# Pieces of names, and their bytes, that may be broadcast; more are joined by shuffle.
 PIECE_ROWS = 100_000
+PIECE_BYTES = 32 * 1024 * 1024
 # Least characters of a text that one tile of it is searched for.
 TILE = 64
 
@@ -147,6 +148,15 @@ def _restrict(table: DataFrame, pairs: DataFrame, query_ids: np.ndarray) -> tupl
     return restricted, table.join(by_source, "source", "inner" if restricted.all() else "left")
 
 
+def _meet(rows: DataFrame, others: DataFrame, on: str) -> DataFrame:
+    """Join with ``others``, broadcast only after their rows were counted, else by shuffle.
+
+    Spark's own choice goes by the size of the files read, which rows that were listed or unpacked from them outgrow.
+    """
+    few, listed = settle(others)
+    return rows.join(few if listed is not None else few.hint("merge"), on)
+
+
 def named_documents(queries: DataFrame, sources: DataFrame) -> DataFrame:
     """(query_id, source) where the lower-cased question contains the document's stem.
 
@@ -165,7 +175,7 @@ def named_documents(queries: DataFrame, sources: DataFrame) -> DataFrame:
         return F.when(size >= n, cut_out).otherwise(F.array().cast("array<string>"))
 
     parts = F.array_distinct(F.flatten(F.array(*[substrings(n) for n in sorted(lengths)])))
-    return lowered.select("query_id", F.explode(parts).alias("stem")).join(stems, "stem").select("query_id", "source")
+    return lowered.select("query_id", F.explode(parts).alias("stem")).transform(_meet, stems, "stem").select("query_id", "source")
 
 
 def _longest_common(bits: dict[str, int], length: int, text: str) -> int:
@@ -261,9 +271,9 @@ def _similar_within(shorts: DataFrame, longs: DataFrame, ratio: int) -> DataFram
         return None
     pieces = _pieces(fitting, ratio)
     sizes = sorted(r[0] for r in pieces.select(F.length("piece")).distinct().collect())
-    count, width = pieces.agg(F.count("*"), F.sum(8 * F.col("m"))).first()
-    if count <= PIECE_ROWS and width <= BLOCK_BYTES:
-        pieces = F.broadcast(pieces)
+    # Of a piece's row its text's character pairs are the most, 16 bytes each.
+    count, width = pieces.agg(F.count("*"), F.sum(16 * F.col("m") + F.octet_length("short") + 160)).first()
+    pieces = F.broadcast(pieces) if count <= PIECE_ROWS and width <= PIECE_BYTES else pieces.hint("merge")
     step = max(TILE, most)
     n, core = F.length("long"), F.col("j") * step
     tiles = (
@@ -312,10 +322,11 @@ def similar_documents(queries: DataFrame, sources: DataFrame, ratio: int = MENTI
         found = _similar_within(as_side(tables[short], short, "short"), as_side(tables[long], long, "long"), ratio)
         if found is not None:
             ids.append(found.select(F.col("short_id").alias(f"{short}_id"), F.col("long_id").alias(f"{long}_id")).select("stem_id", "q_id"))
-    pairs = names.where("stem = ''").join(asked.withColumnRenamed("q", "stem"), "stem").select("stem_id", "q_id")
+    pairs = names.where("stem = ''").crossJoin(asked.where("q = ''")).select("stem_id", "q_id")
     pairs = reduce(DataFrame.unionByName, ids, pairs).distinct()
-    texts = pairs.join(names, "stem_id").join(asked, "q_id").select("stem", "q")
-    return lowered.join(texts, "q").join(stems, "stem").select("query_id", "source")
+    by_id = cut(pairs).transform(_meet, names, "stem_id").select("stem", "q_id").transform(_meet, asked, "q_id")
+    found = by_id.select("stem", "q").transform(_meet, stems, "stem").select("q", "source")
+    return _meet(lowered, found, "q").select("query_id", "source")
 
 
 def mentioned_documents(queries: DataFrame, sources: DataFrame, ratio: int | None = MENTION_RATIO) -> DataFrame:

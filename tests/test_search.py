@@ -279,3 +279,16 @@ def test_repeated_pages_count_once(spark):
     rows = [(1, "a.pdf", 0, f"{line} 1"), (1, "a.pdf", 0, f"{line} 1"), (1, "a.pdf", 0, f"{line} other"), (1, "a.pdf", None, f"{line} 0"), (1, "a.pdf", 1, None), (1, "a.pdf", 1, None), (1, "a.pdf", 2, f"{line} 2")]
     got = document_chunks(spark.createDataFrame(rows, "doc_id bigint, source string, page int, text string")).collect()
     assert sorted(r["chunk_id"] - (1 << 31) for r in got) == [0, 1, 2, 4] and {r["chunk"][-1] for r in got} == {"0", "1", "r", "2"}
+
+
+def test_listed_substrings_are_not_broadcast(spark, tmp_path):
+    """A small file of questions lists many substrings; only names that were counted are broadcast, more are joined by shuffle."""
+    spark.range(3000).select(F.col("id").alias("query_id"), F.lit("where is the manual of the large ring").alias("text"), F.lit("large ring.pdf").alias("source")).write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    named = search.named_documents(asked.select("query_id", "text"), asked.select("source"))
+    assert "BuildLeft" not in named._jdf.queryExecution().sparkPlan().toString()
+    assert named.count() == 3000
+    many = spark.range(30_000).select(F.col("id").cast("string").alias("stem"))
+    listed = spark.range(10).select(F.col("id").cast("string").alias("stem"))
+    plan = search._meet(listed, many, "stem")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and search._meet(listed, many, "stem").count() == 10
