@@ -27,9 +27,11 @@ from plantlens.llm.common import query, record_batch, table, text_runs
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Units and pairs that a Python worker remembers: about 300 and 250 MB at most.
-UNIT_LIMIT = 1_000_000
-PAIR_LIMIT = 2_000_000
+#: Units and pairs that a Python worker remembers: about 60 and 50 MB at most. A worker keeps them after its tasks, beside all later stages.
+UNIT_LIMIT = 200_000
+PAIR_LIMIT = 400_000
+#: Characters of texts whose ids a task holds at a time.
+RUN_CHARS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -300,7 +302,7 @@ def digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_column:
         codec, end, names = shared.value.codec(), shared.value.end, [str(i) for i in range(len(shared.value.texts))]
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for s, texts in text_runs(batch.column(1), 4_000_000):
+            for s, texts in text_runs(batch.column(1), RUN_CHARS):
                 rows = []
                 for text in texts:
                     ids = codec.encode(text)

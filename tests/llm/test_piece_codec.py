@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -58,3 +59,15 @@ def test_digests_and_columns(spark, library):
     both = piece_codec.decode_column(piece_codec.encode_column(docs, PATH), PATH).collect()
     assert all(r["decoded"] == library.decode(library.encode(r["text"] or "")) and r["node"] == "clash" for r in both)
     assert piece_codec.digests(empty(spark), PATH).count() == 0
+
+
+def test_what_a_worker_remembers_is_small():
+    """Full memories of units and pairs, by what a part of them takes, stay within 160 MB of a Python worker."""
+    codec = piece_codec.load_pieces(piece_codec.default_model()).codec()
+    rng = random.Random(1)
+    tracemalloc.start()
+    for _ in range(20_000):
+        codec.unit_ids("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(3, 10))))
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert taken * max(piece_codec.UNIT_LIMIT / len(codec.units), piece_codec.PAIR_LIMIT / len(codec.pairs)) < 160e6
