@@ -21,6 +21,8 @@ from plantlens.session import cut, settle
 
 BLOCK_ROWS = 8_192
 RIVALS = 128
+# Fronts that the first round of ranking peels.
+FRONTS = 4
 WINDOW_ROWS = 200_000
 # Slices, and rows, that one task puts in order.
 SLICES = 64
@@ -59,14 +61,30 @@ def _matrix(table: pa.RecordBatch | pa.Table, costs: Sequence[str]) -> np.ndarra
     return np.column_stack([table.column(c).to_numpy(zero_copy_only=False) for c in costs]) if table.num_rows else np.empty((0, len(costs)))
 
 
-def _local_skyline(costs: Sequence[str], block_rows: int):
+def _levels(costs: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Front of each row among the rows of this block; ``most`` for all rows behind the first ``most`` fronts."""
+    ranks = np.full(len(costs), most or 0, dtype="int32")
+    left, level = np.arange(len(costs)), 0
+    while len(left) and level != most:
+        top = _survivors(costs[left])
+        ranks[left[top]] = level
+        left = np.delete(left, top)
+        level += 1
+    return ranks
+
+
+def _local_skyline(costs: Sequence[str], block_rows: int, fronts: int = 1):
+    """Rows in the first ``fronts`` fronts of what a task saw; a row of those fronts of the whole table is in those of every part."""
+
+    def first(rows: np.ndarray) -> np.ndarray:
+        return rows[_survivors(rows)] if fronts == 1 else rows[_levels(rows, fronts) < fronts]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, len(costs)))
         for batch in batches:
             for start in range(0, batch.num_rows, block_rows):
                 piece = np.unique(_matrix(batch.slice(start, block_rows), costs), axis=0)
-                held = np.unique(np.vstack([held, piece[_survivors(piece)]]), axis=0)
-                held = held[_survivors(held)]
+                held = first(np.unique(np.vstack([held, first(piece)]), axis=0))
                 if len(held) > block_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(len(costs))], names=list(costs))
                     held = np.empty((0, len(costs)))
@@ -90,9 +108,9 @@ def _schema(costs: Sequence[str]) -> str:
     return ", ".join(f"`{c}` double" for c in costs)
 
 
-def _front_vectors(vectors: DataFrame, costs: Sequence[str], block_rows: int) -> DataFrame:
-    """Distinct non-dominated cost vectors."""
-    local = _local_skyline(costs, block_rows)
+def _candidates(vectors: DataFrame, costs: Sequence[str], block_rows: int, fronts: int = 1) -> tuple[DataFrame, int]:
+    """Distinct vectors that may be in the first ``fronts`` fronts, merged in shrinking rounds, and their number."""
+    local = _local_skyline(costs, block_rows, fronts)
     left = cut(vectors.mapInArrow(local, _schema(costs)).distinct())
     n = left.count()
     while n > block_rows:
@@ -102,11 +120,28 @@ def _front_vectors(vectors: DataFrame, costs: Sequence[str], block_rows: int) ->
         shrunk, left, n = m < 0.8 * n, smaller, m
         if not shrunk:
             break
+    return left, n
+
+
+def _front_vectors(vectors: DataFrame, costs: Sequence[str], block_rows: int) -> DataFrame:
+    """Distinct non-dominated cost vectors."""
+    left, n = _candidates(vectors, costs, block_rows)
     if n <= block_rows:
-        return left.coalesce(1).mapInArrow(local, _schema(costs))
+        return left.coalesce(1).mapInArrow(_local_skyline(costs, block_rows), _schema(costs))
     return _block_check(left, costs, -(-n // block_rows))
 
 
+def _ranked_block(vectors: DataFrame, costs: Sequence[str], rank: int, fronts: int | None = None) -> DataFrame:
+    """At most a block of vectors with their fronts, counted from ``rank``, ranked in one task; those behind ``fronts`` fronts drop out."""
+
+    def peel(group: pd.DataFrame) -> pd.DataFrame:
+        levels = _levels(group[list(costs)].to_numpy(dtype=float), fronts)
+        ranked = group[list(costs)].assign(front=levels + rank)
+        return ranked if fronts is None else ranked[levels < fronts]
+
+    return vectors.withColumn("all__", F.lit(0)).groupBy("all__").applyInPandas(peel, f"{_schema(costs)}, front int")
+
+
 def _block_check(vectors: DataFrame, costs: Sequence[str], blocks: int) -> DataFrame:
     """Every vector against every block; a task sees two blocks only."""
     own = F.pmod(F.xxhash64(*costs), F.lit(blocks)).cast("int")
@@ -141,32 +176,30 @@ def front_ranks(
 ) -> DataFrame:
     """Adds ``front`` 0, 1, 2…: the rows left non-dominated once earlier fronts are removed.
 
-    Fronts are peeled one by one while many vectors remain; the last ``block_rows`` of them
-    are ranked in one task. With ``max_rank`` later fronts get NULL.
+    Fronts are peeled while many vectors remain, as many in one round as fit into ``block_rows``; the last ``block_rows`` vectors
+    are ranked in one task. The first k fronts of the first k fronts of all parts are those of the whole: a row of front r < k has a chain of
+    r rows before it, all of lower fronts. With ``max_rank`` later fronts get NULL.
     """
     vectors = cut(_cost_vectors(df, costs).distinct())
-    schema = f"{_schema(costs)}, front int"
     pieces: list[DataFrame] = []
-    rank = 0
+    rank, fronts = 0, FRONTS
     while (n := vectors.count()) > block_rows and (max_rank is None or rank <= max_rank):
-        front = cut(_front_vectors(vectors, costs, block_rows))
-        pieces.append(front.withColumn("front", F.lit(rank)))
-        vectors = cut(vectors.join(front, list(costs), "left_anti"))
-        rank += 1
+        found, m = _candidates(vectors, costs, block_rows, fronts) if fronts > 1 else (None, 0)
+        while fronts > 1 and m > block_rows:
+            fronts //= 2
+            found, m = _candidates(found, costs, block_rows, fronts) if fronts > 1 else (None, 0)
+        if fronts > 1:
+            piece = cut(_ranked_block(found, costs, rank, fronts))
+        else:
+            piece = cut(_front_vectors(vectors, costs, block_rows).withColumn("front", F.lit(rank)))
+            m = piece.count()
+        pieces.append(piece)
+        vectors = cut(vectors.join(piece.select(*costs), list(costs), "left_anti"))
+        rank += fronts
+        # Candidates of the next round should fill half a block.
+        fronts = max(1, min(2 * fronts, fronts * block_rows // (2 * max(1, m))))
     if n and n <= block_rows:
-
-        def peel(group: pd.DataFrame) -> pd.DataFrame:
-            values = group[list(costs)].to_numpy(dtype=float)
-            ranks = np.zeros(len(values), dtype="int32")
-            left, level = np.arange(len(values)), rank
-            while len(left):
-                top = _survivors(values[left])
-                ranks[left[top]] = level
-                left = np.delete(left, top)
-                level += 1
-            return group[list(costs)].assign(front=ranks)
-
-        pieces.append(vectors.withColumn("all__", F.lit(0)).groupBy("all__").applyInPandas(peel, schema))
+        pieces.append(_ranked_block(vectors, costs, rank))
     if not pieces:
         return df.withColumn("front", F.when(~_comparable(costs), 0))
     ranks, _ = settle(reduce(DataFrame.unionByName, pieces))

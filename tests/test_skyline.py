@@ -115,3 +115,13 @@ def test_crowding_with_repeated_missing_and_infinite_rows(spark):
     got = {(r["id"], r["a"]): r["crowding"] for r in sky.crowding_distance(df, ["a", "b"], "id").collect()}
     assert len(got) == 7 and got[5, None] == 0.0 and got[None, 3.0] == 0.0
     assert got[1, 1.0] == got[4, inf] == inf
+
+
+def test_several_fronts_are_peeled_in_a_round(spark, monkeypatch):
+    costs = np.random.default_rng(12).random((700, 3)).round(3)
+    rounds = []
+    whole = sky._front_vectors
+    monkeypatch.setattr(sky, "_front_vectors", lambda *a: rounds.append(1) or whole(*a))
+    ranks = {r["id"]: r["front"] for r in sky.front_ranks(table(spark, costs), ["a", "b", "c"], block_rows=300).collect()}
+    assert ranks == dict(enumerate(brute_ranks(costs)))
+    assert not rounds
