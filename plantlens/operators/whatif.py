@@ -6,12 +6,15 @@ those partitions, so the (points x draws) rows are never shuffled.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.functions.hashing import digest, normals4
+from plantlens.functions.hashing import HEX_8, digest, normals4
 from plantlens.functions.scalar import PREDICTION_FLOOR, clip, floor_prediction
 from plantlens.operators.scoring import Scorer
 
@@ -33,6 +36,9 @@ SEED = 42
 
 # Draws one task explodes, scores and aggregates.
 DRAWS_PER_TASK = 5_000_000
+# Shares of the draws between which a tornado swings, and points whose draws a task holds at a time.
+ENDS = (0.05, 0.95)
+HEADS = 1_000
 
 
 def _drawn(name: str, normal: Column, spec: Mapping, bounds: Mapping) -> Column:
@@ -43,6 +49,16 @@ def _drawn(name: str, normal: Column, spec: Mapping, bounds: Mapping) -> Column:
     return clip(measured + spread * normal, F.lit(lo), F.lit(hi))
 
 
+def _dealt(points: DataFrame, key: str, n_draws: int) -> DataFrame:
+    """Points partitioned by key.
+
+    The partition number is given outright, from the number of points: left to itself the
+    session would size it by the points and not by the draws.
+    """
+    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(max(usual, -(-points.count() * n_draws // DRAWS_PER_TASK)), key)
+
+
 def draws(
     points: DataFrame,
     key: str,
@@ -51,14 +67,8 @@ def draws(
     spec: Mapping = SENSOR_SPEC,
     bounds: Mapping = INPUT_BOUNDS,
 ) -> DataFrame:
-    """``n_draws`` rows per point: column ``draw`` and a sampled ``<input>__s`` beside each input.
-
-    The partition number is given outright, from the number of points: left to itself the
-    session would size it by the points and not by the draws.
-    """
-    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(usual, -(-points.count() * n_draws // DRAWS_PER_TASK))
-    numbered = points.repartition(tasks, key).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    """``n_draws`` rows per point: column ``draw`` and a sampled ``<input>__s`` beside each input."""
+    numbered = _dealt(points, key, n_draws).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     text = numbered.withColumn("digest__", digest(seed, key, "draw"))
     normal = dict(zip(spec, normals4(F.col("digest__"))))
     return text.withColumns({f"{c}__s": _drawn(c, normal[c], spec, bounds) for c in spec}).drop("digest__")
@@ -108,17 +118,84 @@ def sensitivity(points: DataFrame, key: str, scorer: Scorer, n_draws: int = DRAW
     return runs.groupBy(key, "input").agg(F.stddev_pop("prediction").alias("std"))
 
 
-def tornado(points: DataFrame, key: str, scorer: Scorer, n_draws: int = DRAWS, seed: int = SEED, **kw) -> DataFrame:
-    """Swing of the prediction per point and input between the input's P5 and P95."""
-    inputs = list(kw.get("spec", SENSOR_SPEC))
-    sampled = draws(points, key, n_draws, seed, **kw)
-    ends = F.array(F.lit(0.05), F.lit(0.95))
+def _normals(heads: list[str], n_draws: int) -> np.ndarray:
+    """Standard normals of each head's draws (heads x draws x 4), the numbers of ``normals4``."""
+    tails = [str(i).encode() for i in range(1, n_draws + 1)]
+    digests = b"".join([hashlib.md5(head + tail).digest() for head in map(str.encode, heads) for tail in tails])
+    u = (np.frombuffer(digests, ">u4").reshape(len(heads), n_draws, 2, 2).astype(float) + 0.5) / HEX_8
+    radius, angle = np.sqrt(-2.0 * np.log(u[..., 0])), 2.0 * np.pi * u[..., 1]
+    return np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=-1).reshape(len(heads), n_draws, 4)
+
+
+def _ends(drawn: np.ndarray) -> np.ndarray:
+    """P5 and P95 along axis 1, interpolated as ``percentile`` does."""
+    ordered, out = np.sort(drawn, axis=1), []
+    for p in ENDS:
+        spot = p * (drawn.shape[1] - 1)
+        low, high = int(np.floor(spot)), int(np.ceil(spot))
+        out.append(ordered[:, low] if low == high else np.where(ordered[:, low] == ordered[:, high], ordered[:, low], (high - spot) * ordered[:, low] + (spot - low) * ordered[:, high]))
+    return np.stack(out, axis=-1)
+
+
+def _draw_ends(inputs: Sequence[str], n_draws: int, seed: int, spec: Mapping, bounds: Mapping):
+    """(key as text, list of the key's points) to P5 and P95 of the draws of each input, one input after the other; NULL without a measured value."""
+
+    def drawn(measured: np.ndarray, name: str, normal: np.ndarray) -> np.ndarray:
+        kind, std = spec[name]
+        lo, hi = bounds[name]
+        spread = std * np.abs(measured) if kind == "relative" else np.full_like(measured, std)
+        x = measured[:, None] + spread[:, None] * normal
+        return np.where(x > lo, np.where(x < hi, x, hi), np.where(x <= lo, lo, hi))  # NaN counts as the largest
+
+    def run(keys: pa.Array, points: pa.Array) -> pa.Array:
+        heads = [f"{seed}-" if k is None else f"{seed}-{k}-" for k in keys.to_pylist()]
+        starts, flat = points.offsets.to_numpy(), points.values
+        values = [flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in inputs]
+        known = [flat.field(c).is_valid().to_numpy(zero_copy_only=False) for c in inputs]
+        out = np.full((len(heads), len(inputs), len(ENDS)), np.nan)
+        empty = np.ones((len(heads), len(inputs)), dtype=bool)
+        sizes = np.diff(starts)
+        for at in range(0, len(heads), HEADS):
+            some = np.arange(at, min(at + HEADS, len(heads)))
+            normal = _normals([heads[i] for i in some], n_draws)
+            for j, name in enumerate(inputs):
+                one = sizes[some] == 1
+                one[one] = known[j][starts[some[one]]]
+                rows = some[one]
+                if len(rows):
+                    out[rows, j], empty[rows, j] = _ends(drawn(values[j][starts[rows]], name, normal[one, :, j])), False
+                for i in np.flatnonzero(sizes[some] > 1):
+                    own = slice(starts[some[i]], starts[some[i] + 1])
+                    if known[j][own].any():
+                        out[some[i], j], empty[some[i], j] = _ends(drawn(values[j][own][known[j][own]], name, normal[i, None, :, j]).reshape(1, -1))[0], False
+        width = len(inputs) * len(ENDS)
+        cells = pa.array(out.reshape(-1), pa.float64(), mask=np.repeat(empty.reshape(-1), len(ENDS)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(heads) * width + 1, width, dtype="int32")), cells)
+
+    return F.arrow_udf(run, "array<double>")
+
+
+def tornado(
+    points: DataFrame,
+    key: str,
+    scorer: Scorer,
+    n_draws: int = DRAWS,
+    seed: int = SEED,
+    spec: Mapping = SENSOR_SPEC,
+    bounds: Mapping = INPUT_BOUNDS,
+) -> DataFrame:
+    """Swing of the prediction per point and input between the input's P5 and P95.
+
+    A point's draws are the ones of ``draws``, made and ordered beside the point, so they never become rows. Rows that share a key share its draws.
+    """
+    inputs = list(spec)
     carried = [c for c in points.columns if c != key]
-    ranges = sampled.groupBy(key).agg(
-        *[F.first(c).alias(c) for c in carried], *[F.percentile(f"{c}__s", ends).alias(f"{c}__p") for c in inputs]
-    )
+    listed = F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in inputs]))
+    ends = _draw_ends(inputs, n_draws, seed, spec, bounds)(F.col(key).cast("string"), F.col("points__"))
+    ranges = _dealt(points, key, n_draws).groupBy(key).agg(*[F.first(c).alias(c) for c in carried], listed.alias("points__")).withColumn("ends__", ends).drop("points__")
     two = ranges.withColumn("end__", F.explode(F.array(F.lit(0), F.lit(1))))
-    varied = _one_at_a_time(two, inputs, lambda c: F.when(F.col("end__") == 0, F.col(f"{c}__p")[0]).otherwise(F.col(f"{c}__p")[1]))
+    at = {c: F.lit(len(ENDS) * i) + F.col("end__") for i, c in enumerate(inputs)}
+    varied = _one_at_a_time(two, inputs, lambda c: F.get("ends__", at[c]))
     runs = _scored(varied, scorer)
     low = F.max(F.when(F.col("end__") == 0, F.col("prediction")))
     high = F.max(F.when(F.col("end__") == 1, F.col("prediction")))

@@ -64,3 +64,25 @@ def test_draws_are_not_shuffled(points):
 def test_untrained_model_gives_the_floor(points):
     row = whatif.uncertainty_summary(points, "point_id", None, n_draws=10).first()
     assert (row["mean"], row["std"], row["p5"]) == pytest.approx((0.01, 0.0, 0.01))
+
+
+def test_tornado_draws_never_become_rows(points):
+    plan = whatif.tornado(points, "point_id", score)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "sequence" not in plan.lower() and "300" not in plan
+
+
+def test_tornado_of_repeated_and_missing_keys_and_values(spark):
+    """Rows of one key share its draws, a missing value has none, NaN counts as the largest."""
+    rows = [(1, 0.5, 40.0, 60.0, 1.0), (1, 0.9, 41.0, None, 1.0), (2, None, 40.0, float("nan"), 1.0), (None, 0.4, 50.0, 70.0, 2.0), (3, float("inf"), 9.0, 60.0, 0.1)]
+    df = spark.createDataFrame(rows, "point_id int, " + ", ".join(f"{c} double" for c in INPUTS))
+    ends = F.array(F.lit(0.05), F.lit(0.95))
+    plain = whatif.draws(df, "point_id").groupBy("point_id").agg(*[F.percentile(f"{c}__s", ends).alias(c) for c in INPUTS])
+    want = {(r["point_id"], c): None if r[c] is None else r[c][1] - r[c][0] for r in plain.collect() for c in INPUTS}
+
+    def changed(rows):
+        return rows.withColumn("prediction", F.element_at(F.create_map(*[x for c in INPUTS for x in (F.lit(c), F.col(c) + 1000.0)]), F.col("input")))
+
+    got = {(r["point_id"], r["input"]): r["swing"] for r in whatif.tornado(df, "point_id", changed).collect()}
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        assert (x is None and got[k] is None) or got[k] == pytest.approx(x, abs=1e-9)
