@@ -27,9 +27,9 @@ from plantlens.llm.common import query, record_batch, table, text_runs
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Units and pairs that a Python worker remembers: about 60 and 50 MB at most. A worker keeps them after its tasks, beside all later stages.
-UNIT_LIMIT = 200_000
-PAIR_LIMIT = 400_000
+#: Units and pairs that a Python worker remembers: about 120 and 100 MB at most. A worker keeps them after its tasks, beside all later stages.
+UNIT_LIMIT = 400_000
+PAIR_LIMIT = 800_000
 #: Characters of texts whose ids a task holds at a time.
 RUN_CHARS = 1_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
