@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantlens.functions.hashing import HEX_8, digest, normals4
+from plantlens.functions.hashing import HEX_8, box_muller, uniforms4
 from plantlens.functions.scalar import PREDICTION_FLOOR, clip, floor_prediction
 from plantlens.operators.scoring import Scorer
 
@@ -36,7 +36,9 @@ SEED = 42
 
 # Draws one task explodes, scores and aggregates.
 DRAWS_PER_TASK = 5_000_000
-# Shares of the draws between which a tornado swings, and points whose draws a task holds at a time.
+# Draws of one key up to which they are listed and ordered; those of a key with more (many rows share it) are counted by value.
+LISTED = 10_000
+# Shares of the draws at the ends of a spread, between which a tornado swings, and points whose draws a task holds at a time.
 ENDS = (0.05, 0.95)
 HEADS = 1_000
 
@@ -68,10 +70,13 @@ def draws(
     bounds: Mapping = INPUT_BOUNDS,
 ) -> DataFrame:
     """``n_draws`` rows per point: column ``draw`` and a sampled ``<input>__s`` beside each input."""
-    numbered = _dealt(points, key, n_draws).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    text = numbered.withColumn("digest__", digest(seed, key, "draw"))
-    normal = dict(zip(spec, normals4(F.col("digest__"))))
-    return text.withColumns({f"{c}__s": _drawn(c, normal[c], spec, bounds) for c in spec}).drop("digest__")
+    headed = _dealt(points, key, n_draws).withColumn("head__", F.concat_ws("-", F.lit(str(seed)), F.col(key)))
+    numbered = headed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    text = numbered.withColumn("digest__", F.md5(F.concat("head__", F.lit("-"), F.col("draw").cast("string"))))
+    chance = [f"u{i}__" for i in range(4)]
+    even = text.withColumns(dict(zip(chance, uniforms4(F.col("digest__")))))
+    normal = dict(zip(spec, box_muller([F.col(u) for u in chance])))
+    return even.withColumns({f"{c}__s": _drawn(c, normal[c], spec, bounds) for c in spec}).drop("head__", "digest__", *chance)
 
 
 def _scored(df: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -92,14 +97,26 @@ def uncertainty_summary(
 ) -> DataFrame:
     """Mean, population deviation, P5 and P95 per point (a point's draws are bounded by ``n_draws``)."""
     runs = simulate(points, key, scorer, n_draws, seed, **kw)
-    spread = F.percentile("prediction", F.array(F.lit(0.05), F.lit(0.95)))
+    most = points.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if most * n_draws <= LISTED:
+        spread, ends = F.sort_array(F.collect_list("prediction")), [_end(F.col("p"), share) for share in ENDS]
+    else:
+        spread, ends = F.percentile("prediction", F.array(*map(F.lit, ENDS))), [F.col("p")[0], F.col("p")[1]]
     return (
         runs.groupBy(key)
         .agg(F.avg("prediction").alias("mean"), F.stddev_pop("prediction").alias("std"), spread.alias("p"))
-        .select(key, "mean", "std", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p95"))
+        .select(key, "mean", "std", ends[0].alias("p5"), ends[1].alias("p95"))
     )
 
 
+def _end(ordered: Column, share: float) -> Column:
+    """The percentile of an ordered array, interpolated as ``percentile`` does; NULL of an empty one."""
+    spot = F.lit(share) * (F.size(ordered) - 1)
+    below, above = F.floor(spot), F.ceil(spot)
+    low, high = F.get(ordered, below.cast("int")), F.get(ordered, above.cast("int"))
+    return F.when(low == high, low).otherwise((above - spot) * low + (spot - below) * high)
+
+
 def _one_at_a_time(sampled: DataFrame, inputs: Sequence[str], value_of) -> DataFrame:
     """One row per input, that input replaced by ``value_of(input)``, the others nominal."""
     options = [

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantlens.functions.features import energy_signal
+from plantlens.functions.hashing import digest, words4
 from plantlens.operators import whatif
 from plantlens.operators.scoring import RAW_DEFAULTS, complete_points
 
@@ -86,3 +87,24 @@ def test_tornado_of_repeated_and_missing_keys_and_values(spark):
     assert got.keys() == want.keys()
     for k, x in want.items():
         assert (x is None and got[k] is None) or got[k] == pytest.approx(x, abs=1e-9)
+
+
+def test_draws_need_no_base_conversion(points):
+    """Eight hex digits become a number by a checksum undone, the same number as by ``conv``."""
+    assert "conv(" not in whatif.draws(points, "point_id")._jdf.queryExecution().optimizedPlan().toString()
+    text = points.sparkSession.range(3000).select(digest(42, "id").alias("d"))
+    for r in text.select("d", F.array(*words4(F.col("d"))).alias("w")).collect():
+        assert r["w"] == [int(r["d"][8 * i : 8 * i + 8], 16) for i in range(4)]
+
+
+def test_listed_and_counted_percentiles_are_equal(spark, monkeypatch):
+    """Repeated and missing keys and missing values: lists for few draws a key, counts by value for many."""
+    rows = [(1, 0.5, 40.0, 60.0, 1.0), (1, 0.9, 41.0, None, 1.0), (1, 0.5, 40.0, 60.0, 1.0), (2, None, 40.0, 60.0, 1.0), (None, 0.4, 50.0, 70.0, 2.0), (None, 0.6, 50.0, 70.0, 2.0), (3, 0.5, 9.0, float("nan"), 0.1)]
+    df = spark.createDataFrame(rows, "point_id int, " + ", ".join(f"{c} double" for c in INPUTS))
+    listed = whatif.uncertainty_summary(df, "point_id", score, n_draws=30)
+    monkeypatch.setattr(whatif, "LISTED", 89)
+    counted = whatif.uncertainty_summary(df, "point_id", score, n_draws=30)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (listed, counted)]
+    assert ["collect_list" in p for p in plans] == [True, False]
+    key = lambda r: str(r["point_id"])
+    assert [str(r) for r in sorted(listed.collect(), key=key)] == [str(r) for r in sorted(counted.collect(), key=key)]
