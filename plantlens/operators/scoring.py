@@ -45,6 +45,8 @@ def complete_points(
     filled = points.withColumns(
         {c: (F.coalesce(F.col(c).cast("double"), F.lit(v)) if c in have else F.lit(float(v))) for c, v in given.items()}
     )
+    if temp_mean is None and feature_order and "temperature_deviation" not in {*feature_order, *keep}:
+        temp_mean = 0.0  # nothing asks for the deviation, so its mean need not be read from the points
     derived = add_features(filled, temp_mean)
     if not feature_order:
         return derived

@@ -168,3 +168,13 @@ def test_permutations_are_exact_and_even(spark):
             cells = len(set(zip(rows["a"] * 22 // n, rows["b"] * 22 // n, strict=True)))
             assert abs(rows["a"].corr(rows["b"])) < 0.07 and cells > 0.96 * 484
     assert permuted_number(123_456_789, 3_000_000_000, "a", 1) != permuted_number(123_456_789, 3_000_000_000, "a", 2)
+
+
+def test_completion_reads_no_mean_that_nobody_asks_for(spark):
+    """Without the deviation among the features the points are not run for its mean: points that cannot be run are completed."""
+    failing = F.raise_error(F.lit("the points were run")).cast("double")
+    points = spark.createDataFrame([(1, 0.5)], "id int, production_load double").withColumn("machine_temperature", failing)
+    out = complete_points(points, {}, None, ["production_load", "load_squared"], keep=["id"])
+    assert out.columns == ["id", "production_load", "load_squared"]
+    with pytest.raises(Exception, match="the points were run"):
+        complete_points(points, {}, None, ["production_load", "temperature_deviation"], keep=["id"])
