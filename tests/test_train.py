@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -63,6 +65,49 @@ def test_classifier(readings):
     assert labels == {"Low", "Medium", "High"}
 
 
+def ridge_that(acts):
+    ridge = smaller(regression_candidates(), ["Ridge"], alpha=[1.0])[0]
+    return lambda settings, facts: acts() or ridge.build(settings, facts)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_a_slow_fit_holds_up_the_next_fold_only_on_large_tables(readings, monkeypatch, large):
+    if large:
+        monkeypatch.setattr("plantlens.plans.train.MANY_FOLDS_ROWS", 100)
+    lock, quick, slow, came = threading.Lock(), [], [], []
+    next_fold = threading.Event()
+
+    def fast():
+        with lock:
+            quick.append(1)
+            if len(quick) == 2:
+                next_fold.set()
+
+    def waits():
+        with lock:
+            slow.append(1)
+            first = len(slow) == 1
+        if first:
+            came.append(next_fold.wait(5 if large else 60))
+
+    pool = [Candidate("Slow", ridge_that(waits), {"alpha": [1.0]}), Candidate("Fast", ridge_that(fast), {"alpha": [1.0]})]
+    _, _, board = train(readings.drop("emission_class"), "energy", "row_id", pool, 1, folds=2)
+    assert {b[2] for b in board} == {"ok"} and len({b[1] for b in board}) == 1
+    assert came == [not large]
+
+
+def test_the_first_fold_names_the_failure(readings):
+    seen = []
+
+    def breaks(settings, facts):
+        seen.append(facts.rows)
+        raise RuntimeError("no such learner\nmore")
+
+    pool = [*smaller(regression_candidates(), ["Ridge"], alpha=[1.0]), Candidate("Breaks", breaks, {"x": [1]})]
+    _, _, board = train(readings.drop("emission_class"), "energy", "row_id", pool, 1, folds=2)
+    assert ("Breaks", None, "failed", "no such learner") in board and seen
+
+
 def test_every_candidate_builds():
     facts = FitFacts(100, 2.0, 4, 3)
     for c in [*regression_candidates(), *classification_candidates()]:
