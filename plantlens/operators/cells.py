@@ -1,0 +1,103 @@
+"""Regression trees on large tables: learners fitted on cells, which are rows of equal bins.
+
+A tree of Spark's sees at most 32 bins of a feature, and the variance gain of a split needs only the counts and sums of labels on
+its sides (the spread inside a cell counts the same before and after any split). So all rows are counted once into cells, and the
+passes per level of a tree read cells, whose number is bounded by bins and features and not by rows. A forest's resampling is
+drawn row by row before the cells are counted.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.feature import QuantileDiscretizer, SQLTransformer, VectorAssembler
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Bins of a feature (Spark's own default), error of a cut's rank as a share of the rows.
+BINS = 32
+RANK_ERROR = 0.002
+
+# Rows a cell holds on average, at least; with fewer the learners are fitted on rows.
+ROWS_PER_CELL = 100
+
+# Cells that a training task holds, fits that run side by side.
+CELLS_PER_TASK = 25_000
+PARALLEL = 4
+
+# P(X <= k) of a Poisson variable with mean 1, up to the last double below 1.
+POISSON = [p for p in accumulate(math.exp(-1.0) / math.factorial(k) for k in range(18)) if p < 1.0]
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Rows (``label`` and bin columns), the stages that bin any row, and the number of cells."""
+
+    rows: DataFrame
+    stages: list
+    names: list[str]
+    count: int
+
+    @classmethod
+    def of(cls, rows: DataFrame, columns: Sequence[str]) -> Cells | None:
+        """Cells of ``rows`` by ``columns``; ``None`` where rows hardly share any."""
+        names = [f"bin{i}__" for i in range(len(columns))]
+        cuts = QuantileDiscretizer(numBuckets=BINS, relativeError=RANK_ERROR, inputCols=list(columns), outputCols=names).fit(rows)
+        # Bins are in order; their metadata would make them categories.
+        binned = cuts.transform(rows).select("label", *[F.col(n).alias(n, metadata={}) for n in names])
+        count = binned.groupBy(*names).agg(F.count("*")).count()
+        if count * ROWS_PER_CELL > rows.count():
+            return None
+        return cls(binned, [cuts, VectorAssembler(inputCols=names, outputCol="bins__")], names, count)
+
+    def _weighted(self, drawn: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+        """Per cell (and ``by``) the rows counted with ``times`` and their mean label."""
+        weight = F.sum("times").cast("double")
+        sums = drawn.groupBy(*by, *self.names).agg(weight.alias("weight"), (F.sum(F.col("times") * F.col("label")) / weight).alias("label"))
+        tasks = -(-n // CELLS_PER_TASK) or 1
+        return self.stages[1].transform(sums).select(*by, "label", "weight", "bins__").coalesce(tasks).persist()
+
+    def fit(self, learner: Estimator) -> PipelineModel:
+        """``learner`` fitted on every row with the weight one."""
+        cells = self._weighted(self.rows.withColumn("times", F.lit(1)), [], self.count)
+        try:
+            return PipelineModel([*self.stages, learner.setFeaturesCol("bins__").setWeightCol("weight").fit(cells)])
+        finally:
+            cells.unpersist()
+
+    def fit_resampled(self, learners: Sequence[Estimator], least: int, seed: int) -> PipelineModel:
+        """Mean of single trees, each fitted on its own resample of the rows (each row Poisson(1) times).
+
+        ``least`` is the number of resampled rows on each side of a split.
+        """
+        each = F.explode(F.sequence(F.lit(0), F.lit(len(learners) - 1))).alias("tree__")
+        drawn = self.rows.select("*", each).withColumn("u__", F.rand(seed)).withColumn("times", _poisson(F.col("u__"))).where("times > 0")
+        cells = self._weighted(drawn, ["tree__"], self.count * len(learners))
+        try:
+            totals = dict(cells.groupBy("tree__").agg(F.sum("weight")).collect())
+
+            def grown(i: int):
+                tree = learners[i].setFeaturesCol("bins__").setWeightCol("weight").setPredictionCol(f"tree{i}__")
+                share = (least - 0.5) / totals[i]
+                return tree.setMinInstancesPerNode(1).setMinWeightFractionPerNode(share).fit(cells.where(F.col("tree__") == i))
+
+            with ThreadPoolExecutor(max_workers=PARALLEL) as pool:
+                trees = list(pool.map(grown, range(len(learners))))
+        finally:
+            cells.unpersist()
+        total = " + ".join(f"tree{i}__" for i in range(len(learners)))
+        mean = SQLTransformer(statement=f"SELECT *, ({total}) / {len(learners)} AS prediction FROM __THIS__")
+        return PipelineModel([*self.stages, *trees, mean])
+
+
+def _poisson(u: Column) -> Column:
+    """A Poisson(1) number from a uniform one, by its distribution function."""
+    drawn = F.when(u < POISSON[0], 0)
+    for k, p in enumerate(POISSON[1:], 1):
+        drawn = drawn.when(u < p, k)
+    return drawn.otherwise(len(POISSON))

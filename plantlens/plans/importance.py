@@ -26,9 +26,11 @@ def model_importance(model: PipelineModel) -> DataFrame | None:
     names = next(s for s in model.stages if isinstance(s, FeatureVectorModel))
     columns = names.getOrDefault(names.columns)
     values = None
+    trees = [stage.featureImportances.toArray() for stage in model.stages if hasattr(stage, "featureImportances")]
     for stage in model.stages:
-        if hasattr(stage, "featureImportances"):
-            values = stage.featureImportances.toArray()
+        if trees:  # a forest fitted on cells has a stage per tree
+            summed = np.sum(trees, axis=0)
+            values = summed / (summed.sum() or 1.0) if len(trees) > 1 else trees[0]
         elif hasattr(stage, "coefficientMatrix"):
             values = np.abs(stage.coefficientMatrix.toArray()).mean(axis=0)
         elif hasattr(stage, "coefficients"):
