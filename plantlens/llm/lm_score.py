@@ -6,23 +6,25 @@ until a probe fails, so it can only be read too high, with a probability that fa
 The filter is built bucket by bucket in tasks (a bucket of the hash space is a section of the
 filter); its size follows the number of training tokens, so its load has a proven bound at every size (entries number at
 most 4/3 of tokens for each n-gram length). Up to ``max_bits`` it is broadcast. A larger one is never put together: the distinct n-grams of
-each run of texts go to the tasks of their buckets, each section is made and probed there, and the classes go back to the run. Both ways
-read the same sections, so scores do not depend on the way.
+each run of texts go to the tasks of their buckets, a stretch of neighbouring buckets in one row; each section is made and probed there, and
+the classes go back to the run. Both ways read the same sections, so scores do not depend on the way.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantlens.llm.common import END_HASH, Words, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, words_of
-from plantlens.llm.log_filter import PACKED, Filter, build_filter, by_bucket, class_counts, packed, probe_section
+from plantlens.llm.common import END_HASH, Words, fold_of, join_hash, power_of_two, query, record_batch, table, text_runs, text_slices
+from plantlens.llm.log_filter import PACKED, STRETCHED, Filter, build_filter, by_stretch, class_counts, packed, probe_sections, stretched
 from plantlens.session import cut
 
 ORDER = 2
@@ -30,6 +32,10 @@ BITS_PER_TOKEN = 4
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 BUCKET_TOKENS = 1 << 20
 HEAD_WORDS = 1 << 18
+#: Bytes of the texts whose n-grams are asked for together.
+RUN_BYTES = 8_000_000
+#: N-grams that a task counts together before they go to the sections of a filter that is too large to travel.
+PACK_GRAMS = 6_000_000
 #: Weight of an n-gram whose context is frequent, and the context count at which half of it is reached.
 TRUST, HALF = 0.25, 2.0
 
@@ -39,19 +45,16 @@ ORDER_SALT = 0x2545F4914F6CDD1D
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and text ends of a task, counted; sent on whenever the counter grows large."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-    seen: Counter = Counter()
+    """Words and text ends of a task, counted per run of texts; the words are those of ``words_of``."""
     for batch in batches:
-        for _, texts in text_runs(batch.column(0), 1_500_000):
-            for text in texts:
-                seen.update(words_of(text or ""))
-            seen[END] += len(texts)
-            if len(seen) > 400_000:
-                yield record_batch(schema, [list(seen), list(seen.values())])
-                seen = Counter()
-    if seen:
-        yield record_batch(schema, [list(seen), list(seen.values())])
+        for s in text_slices(batch.column(0), RUN_BYTES):
+            texts = batch.column(0).slice(s.start, s.stop - s.start)
+            found = pc.ascii_split_whitespace(pc.ascii_lower(texts)).flatten().value_counts()
+            words = found.field("values").cast(pa.binary())
+            # Space before the first or after the last word leaves an empty one.
+            real = pc.greater(pc.binary_length(words), 0)
+            yield pa.RecordBatch.from_arrays([words.filter(real), found.field("counts").filter(real)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(texts)], pa.int64())], names=["word", "n"])
 
 
 def padded(texts: list[str | None], order: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -78,8 +81,8 @@ def windows(hashes: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndar
     return out
 
 
-def count_ngrams(order: int, bucket_bits: int):
-    """Task-side n-gram counts, packed by bucket."""
+def count_ngrams(order: int, bucket_bits: int, pack: Callable[[list[np.ndarray], int], pa.RecordBatch] = packed, most: int = 1_500_000):
+    """Task-side counts of about ``most`` n-grams at a time, packed by bucket or as ``pack`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -90,11 +93,11 @@ def count_ngrams(order: int, bucket_bits: int):
                     w = w[w != 0]
                     parts.append(w)
                     size += len(w)
-                if size > 1_500_000:
-                    yield packed(parts, bucket_bits)
+                if size > most:
+                    yield pack(parts, bucket_bits)
                     parts, size = [], 0
         if size:
-            yield packed(parts, bucket_bits)
+            yield pack(parts, bucket_bits)
 
     return run
 
@@ -109,8 +112,9 @@ class Read:
         """Counts of n-grams of the run; 0 where the hash is 0."""
         if len(self.grams) == 0:
             return np.zeros(len(grams))
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return np.where(self.grams[at] == grams, class_counts(1)[self.levels[at]], 0.0)
+        distinct, back = np.unique(grams, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.grams, distinct), len(self.grams) - 1)
+        return np.where(self.grams[at] == distinct, class_counts(1)[self.levels[at]], 0.0)[back]
 
 
 class Model:
@@ -143,8 +147,8 @@ class Model:
         return np.log10(np.maximum(p, 1e-300))
 
 
-def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, tuple[DataFrame, int, int]]:
-    """Model of a one-column table of texts, its exact word counts ``(word, n)`` as a written table, and packed n-gram counts with the filter's bits and bucket bits."""
+def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, int, int]:
+    """Model of a one-column table of texts, its exact word counts ``(word, n)`` as a written table, and the filter's bits and bucket bits."""
     counts = cut(texts.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
     words, tokens, single = int(total[0]), int(total[1]), int(total[2])
@@ -156,10 +160,9 @@ def train_model(texts: DataFrame, order: int = ORDER, max_bits: int = MAX_BITS,
     head = (hashes[by_hash], top.column("n").to_numpy()[by_hash].astype(np.float64))
     bits = power_of_two(BITS_PER_TOKEN * max(order, 1) / 2 * tokens, MIN_BITS, 1 << 60)
     bucket_bits = power_of_two(order * tokens / BUCKET_TOKENS, 1, bits >> 13).bit_length() - 1
-    grams = texts.mapInArrow(count_ngrams(order, bucket_bits), PACKED)
-    filter_ = build_filter(grams, bits, bucket_bits, 1) if bits <= max_bits else None
+    filter_ = build_filter(texts.mapInArrow(count_ngrams(order, bucket_bits), PACKED), bits, bucket_bits, 1) if bits <= max_bits else None
     unseen = min(0.5, max(single, 1) / max(tokens, 2))
-    return Model(filter_, order, tokens, words, unseen, head), counts, (grams, bits, bucket_bits)
+    return Model(filter_, order, tokens, words, unseen, head), counts, bits, bucket_bits
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<binary>, times array<long>"
@@ -169,7 +172,7 @@ def score_run(model: Model, filter_: Filter | Read, ids: list, held: list, words
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()),
                         ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
     all_rest = math.log10(model.tokens + model.words + 1)
-    distinct, back = np.unique(hashes, return_inverse=True)
+    back, distinct = pd.factorize(hashes)
     log_p = model.log_probabilities(filter_, hashes, lengths, distinct, back)
     exact = model.head_counts(distinct)
     frequent, base = (exact > 0)[back], np.where(exact > 0, np.log10(exact + 1), 0.0)[back]
@@ -195,56 +198,64 @@ def score_batches(shared):
 
 
 def as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as runs of texts, one row each."""
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string()))])
+    """Rows as runs of texts, one row each, compressed: they are written once and dealt once."""
     for batch in batches:
-        ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for s, texts in text_runs(batch.column(1), 2_000_000):
-            yield record_batch(schema, [[ids[s]], [held[s]], [texts]])
+        for s in text_slices(batch.column(1), RUN_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch.slice(s.start, s.stop - s.start))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+
+def run_rows(rows: pa.Scalar) -> list[list]:
+    """Ids, texts and held-out flags of a run."""
+    return [c.to_pylist() for c in pa.ipc.open_stream(rows.as_buffer()).read_all().columns]
 
 
 def grams_of(hashes: np.ndarray, lengths: np.ndarray, order: int) -> np.ndarray:
     """Distinct n-grams of a run, in order."""
-    grams = np.unique(np.concatenate(windows(hashes, lengths, order)))
-    return grams[grams != 0]
+    grams = np.sort(np.concatenate(windows(hashes, lengths, order)))
+    return grams[(grams != 0) & np.concatenate([np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1]])]
 
 
 def asked_grams(order: int, bucket_bits: int):
-    """The distinct n-grams of each run, by bucket."""
-    schema = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary())])
+    """The distinct n-grams of each run, by stretch of buckets."""
+    schema = pa.schema([("run", pa.int64()), ("stretch", pa.int32()), ("sizes", pa.binary()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, texts in zip(batch.column(0), batch.column(1), strict=True):
-                _, hashes, lengths = padded(texts.as_py(), order)
-                full, parts = by_bucket(grams_of(hashes, lengths, order), bucket_bits)
-                yield record_batch(schema, [[k.as_py()] * len(full), full, [p.tobytes() for p in parts]])
+            for k, rows in zip(batch.column(0), batch.column(1), strict=True):
+                _, hashes, lengths = padded(run_rows(rows)[1], order)
+                full, *columns = by_stretch(grams_of(hashes, lengths, order), bucket_bits)
+                yield record_batch(schema, [[k.as_py()] * len(full), full, *columns])
 
     return run
 
 
 def score_runs(shared):
-    """Scores of runs that carry the classes of their n-grams, as (bucket, classes)."""
+    """Scores of runs that carry the classes of their n-grams, as (stretch, classes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            for ids, held, texts, read in zip(*batch.columns, strict=True):
-                words, hashes, lengths = padded(texts.as_py(), model.order)
-                levels = b"".join(r["levels"] for r in sorted(read.as_py(), key=lambda r: r["bucket"]))
+            for rows, read in zip(*batch.columns, strict=True):
+                ids, texts, held = run_rows(rows)
+                words, hashes, lengths = padded(texts, model.order)
+                levels = b"".join(r["levels"] for r in sorted(read.as_py(), key=lambda r: r["stretch"]))
                 filter_ = Read(grams_of(hashes, lengths, model.order), np.frombuffer(levels, np.uint8))
-                yield score_run(model, filter_, ids.as_py(), held.as_py(), words, hashes, lengths)
+                yield score_run(model, filter_, ids, held, words, hashes, lengths)
 
     return run
 
 
-def scores_by_section(rows: DataFrame, shared, order: int, grams: DataFrame, bits: int, bucket_bits: int) -> DataFrame:
-    """Scores by a filter that is too large to travel: n-grams go to the sections and their classes come back."""
-    runs = cut(rows.mapInArrow(as_runs, "ids array<long>, held array<boolean>, texts array<string>").withColumn("run", F.monotonically_increasing_id()))
-    asked = runs.select("run", "texts").mapInArrow(asked_grams(order, bucket_bits), "run long, bucket int, grams binary")
-    read = grams.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(probe_section(bits >> bucket_bits, 1), "run long, bucket int, levels binary")
-    read = read.groupBy("run").agg(F.collect_list(F.struct("bucket", "levels")).alias("read"))
-    return runs.join(read.hint("shuffle_merge"), "run").select("ids", "held", "texts", "read").mapInArrow(score_runs(shared), SCORED)
+def scores_by_section(rows: DataFrame, texts: DataFrame, shared, order: int, bits: int, bucket_bits: int) -> DataFrame:
+    """Scores by a filter of the training ``texts`` that is too large to travel: n-grams go to the sections and their classes come back."""
+    runs = cut(rows.mapInArrow(as_runs, "rows binary").withColumn("run", F.monotonically_increasing_id()))
+    grams = texts.mapInArrow(count_ngrams(order, bucket_bits, stretched, PACK_GRAMS), STRETCHED)
+    asked = runs.select("run", "rows").mapInArrow(asked_grams(order, bucket_bits), "run long, stretch int, sizes binary, grams binary")
+    read = grams.groupBy("stretch").cogroup(asked.groupBy("stretch")).applyInArrow(probe_sections(bucket_bits, bits >> bucket_bits, 1), "run long, stretch int, levels binary")
+    read = read.groupBy("run").agg(F.collect_list(F.struct("stretch", "levels")).alias("read"))
+    return runs.join(read.hint("shuffle_merge"), "run").select("rows", "read").mapInArrow(score_runs(shared), SCORED)
 
 
 def lm_scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -259,11 +270,12 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text
     (row, word) pairs with the table of counts.
     """
     spark = docs.sparkSession
-    model, counts, (grams, bits, bucket_bits) = train_model(train.select(F.col(text_column).alias("text")), order, max_bits, head_words)
+    texts = train.select(F.col(text_column).alias("text"))
+    model, counts, bits, bucket_bits = train_model(texts, order, max_bits, head_words)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), "held_out")
     if model.filter is None:
-        scores = scores_by_section(rows, shared, order, grams, bits, bucket_bits)
+        scores = scores_by_section(rows, texts, shared, order, bits, bucket_bits)
     else:
         scores = rows.mapInArrow(score_batches(shared), SCORED)
     scored = cut(scores.withColumn("row", F.monotonically_increasing_id()))

@@ -79,6 +79,51 @@ def test_scores_do_not_depend_on_what_the_broadcast_holds(spark, monkeypatch):
     assert scored(empty(spark), max_bits=1).count() == 0
 
 
+def test_what_a_run_asks_of_the_sections_goes_in_few_rows(spark, monkeypatch):
+    """A row to the sections and back holds the n-grams of a whole stretch of buckets; classes and counts are those of single buckets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    bucket_bits, section_bits = 6, 1 << 13
+    grams = np.unique(rng.integers(1, 1 << 63, 40_000).astype(np.uint64) << np.uint64(1))
+    counts = rng.geometric(0.4, len(grams)).astype(np.uint32)
+    asked = [np.unique(np.concatenate([rng.choice(grams, 3000), rng.integers(1, 1 << 63, 500).astype(np.uint64)])) for _ in range(5)]
+    rows = [log_filter.by_stretch(a, bucket_bits) for a in asked]
+    assert all(len(r[0]) <= 8 for r in rows) and all(len(log_filter.by_bucket(a, bucket_bits)[0]) > 8 for a in asked)
+
+    whole = np.zeros(section_bits * 64 // 8, np.uint8)
+    for bucket, rest, n in zip(*log_filter.by_bucket(grams, bucket_bits, counts), strict=True):
+        whole[bucket * section_bits // 8 : (bucket + 1) * section_bits // 8] = log_filter.section_bits_of(rest, n, section_bits, 1)
+    reader = log_filter.Filter(whole, bucket_bits, section_bits, 1)
+    made = dict(zip(("stretch", "sizes", "grams", "counts"), log_filter.by_stretch(grams, bucket_bits, counts), strict=True))
+    got = [b""] * 5
+    for stretch in range(8):
+        table = pa.table({"sizes": pa.array([made["sizes"][stretch]], pa.binary()), "grams": [made["grams"][stretch]], "counts": [made["counts"][stretch]]})
+        wants = [(k, r[1][r[0].index(stretch)], r[2][r[0].index(stretch)]) for k, r in enumerate(rows) if stretch in r[0]]
+        runs, sizes, wanted = zip(*wants, strict=True)
+        out = log_filter.probe_sections(bucket_bits, section_bits, 1)(table, pa.table({"run": runs, "stretch": [stretch] * len(runs), "sizes": sizes, "grams": wanted}))
+        for k, levels in zip(out.column("run").to_pylist(), out.column("levels").to_pylist(), strict=True):
+            got[k] += levels
+    for a, levels in zip(asked, got, strict=True):
+        assert (log_filter.class_counts(1)[np.frombuffer(levels, np.uint8)] == reader.counts(a)).all()
+
+
+def test_words_are_counted_as_split(spark):
+    import pyarrow as pa
+
+    from plantlens.llm.common import words_of
+
+    rng = np.random.default_rng(2)
+    signs = ["a", "B", " ", "\n", "é", "É", "\t", "x", "😀", "\r\n", "\x1c", "\x85", "\x0b", "\x0c", "\x00", "\u00a0"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(500)] + [None, "", " "]
+    want = Counter(w for t in texts for w in [*words_of(t or ""), b""])
+    got = Counter()
+    for batch in lm_score.count_words(iter([pa.record_batch({"text": pa.array(texts, pa.string())}), pa.record_batch({"text": pa.array([None, None], pa.string())})])):
+        got.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+    want[b""] += 2
+    assert got == want
+
+
 def test_empty_tables(spark):
     assert scored(empty(spark)).count() == 0
     docs = documents(spark).withColumn("held_out", F.lit(True))
