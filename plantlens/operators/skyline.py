@@ -2,7 +2,7 @@
 
 Dominance needs no pair table: each task first drops what its own rows dominate, survivors
 are merged in shrinking rounds, and what still remains is checked block against block, each
-block pair in its own task of bounded size.
+block pair in its own task of bounded size. Fronts are ranked range after range of the vectors' order.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from plantlens.session import cut, settle
 
 BLOCK_ROWS = 8_192
 RIVALS = 128
-# Fronts that the first round of ranking peels.
-FRONTS = 4
+# Fronts are ranked in ranges of 16 blocks, in longer ones where these would be more than 8, and never of more than about 20,000 rows.
+RANGE_BLOCKS, RANGES, RANKED_ROWS = 16, 8, 20_000
 WINDOW_ROWS = 200_000
 # Slices, and rows, that one task puts in order.
 SLICES = 64
@@ -61,30 +61,60 @@ def _matrix(table: pa.RecordBatch | pa.Table, costs: Sequence[str]) -> np.ndarra
     return np.column_stack([table.column(c).to_numpy(zero_copy_only=False) for c in costs]) if table.num_rows else np.empty((0, len(costs)))
 
 
-def _levels(costs: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Front of each row among the rows of this block; ``most`` for all rows behind the first ``most`` fronts."""
-    ranks = np.full(len(costs), most or 0, dtype="int32")
-    left, level = np.arange(len(costs)), 0
-    while len(left) and level != most:
-        top = _survivors(costs[left])
-        ranks[left[top]] = level
-        left = np.delete(left, top)
-        level += 1
+def _raised(rows: np.ndarray, base: np.ndarray, fronts: dict[int, np.ndarray], block_rows: int) -> np.ndarray:
+    """Lowest fronts still open to rows, after the ranked rows of one more range.
+
+    ``base`` is what the ranges before leave open: some row of each lower front dominates the row there, none of a front from ``base`` on. So a
+    dominating row of front ``base`` or above is of this range, with one of front ``base`` before it, and the first front that holds none ends the search.
+    """
+    base = base.copy()
+    for start in range(0, len(rows), block_rows):
+        some, low = rows[start : start + block_rows], base[start : start + block_rows]
+        for rank in sorted(fronts):
+            at = np.flatnonzero(low == rank)
+            if len(at):
+                low[at[_beaten(some[at], fronts[rank])]] += 1
+    return base
+
+
+def _peeled(rows: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Fronts of a block's rows, peeled one by one; no row comes before its ``base``."""
+    ranks, left, rank = base.copy(), np.arange(len(rows)), -1
+    while len(left):
+        rank = max(rank + 1, int(ranks[left].min()))
+        ready = left[ranks[left] <= rank]
+        top = ready[~_beaten(rows[ready], rows[left])]
+        ranks[top] = rank
+        left = np.setdiff1d(left, top, assume_unique=True)
     return ranks
 
 
-def _local_skyline(costs: Sequence[str], block_rows: int, fronts: int = 1):
-    """Rows in the first ``fronts`` fronts of what a task saw; a row of those fronts of the whole table is in those of every part."""
+def _by_front(rows: np.ndarray, ranks: np.ndarray) -> dict[int, np.ndarray]:
+    order = np.argsort(ranks, kind="stable")
+    found, first = np.unique(ranks[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(rows[order], first[1:]), strict=True)) if len(rows) else {}
+
+
+def _ranked(rows: np.ndarray, base: np.ndarray, block_rows: int) -> np.ndarray:
+    """Fronts of a range's rows, block by block in their order: what dominates a row comes before it."""
+    ranks, fronts = base.copy(), {}
+    order, step = np.lexsort(rows.T[::-1]), min(block_rows, RIVALS)
+    for start in range(0, len(rows), step):
+        at = order[start : start + step]
+        ranks[at] = _peeled(rows[at], _raised(rows[at], base[at], fronts, step))
+        for rank, some in _by_front(rows[at], ranks[at]).items():
+            fronts[rank] = np.vstack([fronts[rank], some]) if rank in fronts else some
+    return ranks
 
-    def first(rows: np.ndarray) -> np.ndarray:
-        return rows[_survivors(rows)] if fronts == 1 else rows[_levels(rows, fronts) < fronts]
 
+def _local_skyline(costs: Sequence[str], block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, len(costs)))
         for batch in batches:
             for start in range(0, batch.num_rows, block_rows):
                 piece = np.unique(_matrix(batch.slice(start, block_rows), costs), axis=0)
-                held = first(np.unique(np.vstack([held, first(piece)]), axis=0))
+                merged = np.unique(np.vstack([held, piece[_survivors(piece)]]), axis=0)
+                held = merged[_survivors(merged)]
                 if len(held) > block_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(len(costs))], names=list(costs))
                     held = np.empty((0, len(costs)))
@@ -108,9 +138,9 @@ def _schema(costs: Sequence[str]) -> str:
     return ", ".join(f"`{c}` double" for c in costs)
 
 
-def _candidates(vectors: DataFrame, costs: Sequence[str], block_rows: int, fronts: int = 1) -> tuple[DataFrame, int]:
-    """Distinct vectors that may be in the first ``fronts`` fronts, merged in shrinking rounds, and their number."""
-    local = _local_skyline(costs, block_rows, fronts)
+def _candidates(vectors: DataFrame, costs: Sequence[str], block_rows: int) -> tuple[DataFrame, int]:
+    """Distinct vectors that may be non-dominated, merged in shrinking rounds, and their number."""
+    local = _local_skyline(costs, block_rows)
     left = cut(vectors.mapInArrow(local, _schema(costs)).distinct())
     n = left.count()
     while n > block_rows:
@@ -131,17 +161,6 @@ def _front_vectors(vectors: DataFrame, costs: Sequence[str], block_rows: int) ->
     return _block_check(left, costs, -(-n // block_rows))
 
 
-def _ranked_block(vectors: DataFrame, costs: Sequence[str], rank: int, fronts: int | None = None) -> DataFrame:
-    """At most a block of vectors with their fronts, counted from ``rank``, ranked in one task; those behind ``fronts`` fronts drop out."""
-
-    def peel(group: pd.DataFrame) -> pd.DataFrame:
-        levels = _levels(group[list(costs)].to_numpy(dtype=float), fronts)
-        ranked = group[list(costs)].assign(front=levels + rank)
-        return ranked if fronts is None else ranked[levels < fronts]
-
-    return vectors.withColumn("all__", F.lit(0)).groupBy("all__").applyInPandas(peel, f"{_schema(costs)}, front int")
-
-
 def _block_check(vectors: DataFrame, costs: Sequence[str], blocks: int) -> DataFrame:
     """Every vector against every block; a task sees two blocks only."""
     own = F.pmod(F.xxhash64(*costs), F.lit(blocks)).cast("int")
@@ -171,43 +190,55 @@ def skyline(df: DataFrame, costs: Sequence[str], block_rows: int = BLOCK_ROWS) -
     return kept.unionByName(df.where(~_comparable(costs)))
 
 
+def _next_range(costs: Sequence[str], block_rows: int, current: int, most: int | None):
+    """Raises a range's rows by the ranked rows of the range before ``current``; range ``current``, which has seen all before it, is then ranked."""
+
+    def run(waiting: pa.Table, ranked: pa.Table) -> pa.Table:
+        if waiting.num_rows == 0:
+            return waiting
+        rows, mine = _matrix(waiting, costs), waiting.column("range__")[0].as_py()
+        front = _raised(rows, waiting.column("front").to_numpy(), _by_front(_matrix(ranked, costs), ranked.column("front").to_numpy()), block_rows)
+        if mine == current:
+            front = _ranked(rows, front, block_rows)
+        found = waiting.set_column(waiting.schema.get_field_index("front"), "front", pa.array(front, pa.int32()))
+        return found if most is None else found.filter(pa.array(front <= most))
+
+    return run
+
+
+def _ranges(vectors: DataFrame, costs: Sequence[str], block_rows: int, most: int | None) -> list[DataFrame]:
+    """The distinct vectors with their fronts, a table for each range of their order; those behind front ``most`` drop out.
+
+    What dominates a vector comes before it in the order of its costs. A step ranks one range in one task and shows it to all later
+    ranges, each in a task of its own; no task holds more than two ranges.
+    """
+    n = vectors.count()
+    ranges = max(1, -(-n // RANKED_ROWS), min(RANGES, -(-n // (RANGE_BLOCKS * block_rows))))
+    schema = f"range__ int, {_schema(costs)}, front int"
+    state = vectors.repartitionByRange(ranges, *costs).select(F.spark_partition_id().alias("range__"), *costs, F.lit(0).alias("front"))
+    state, done = cut(state), []
+    for current in range(ranges):
+        waiting = state.where(F.col("range__") >= current)
+        shown = state.where(F.col("range__") == current - 1).withColumn("range__", F.explode(F.sequence(F.lit(current), F.lit(ranges - 1))))
+        by = [df.repartition(ranges - current, "range__").groupBy("range__") for df in (waiting, shown)]
+        state = cut(by[0].cogroup(by[1]).applyInArrow(_next_range(costs, block_rows, current, most), schema))
+        done.append(state.where(F.col("range__") == current).drop("range__"))
+    return done
+
+
 def front_ranks(
     df: DataFrame, costs: Sequence[str], max_rank: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Adds ``front`` 0, 1, 2…: the rows left non-dominated once earlier fronts are removed.
 
-    Fronts are peeled while many vectors remain, as many in one round as fit into ``block_rows``; the last ``block_rows`` vectors
-    are ranked in one task. The first k fronts of the first k fronts of all parts are those of the whole: a row of front r < k has a chain of
-    r rows before it, all of lower fronts. With ``max_rank`` later fronts get NULL.
+    Distinct vectors are ranked range after range of their order, at most ``block_rows`` of them compared at a time; a small
+    table is one range. With ``max_rank`` later fronts get NULL.
     """
     vectors = cut(_cost_vectors(df, costs).distinct())
-    pieces: list[DataFrame] = []
-    rank, fronts = 0, FRONTS
-    while (n := vectors.count()) > block_rows and (max_rank is None or rank <= max_rank):
-        found, m = _candidates(vectors, costs, block_rows, fronts) if fronts > 1 else (None, 0)
-        while fronts > 1 and m > block_rows:
-            fronts //= 2
-            found, m = _candidates(found, costs, block_rows, fronts) if fronts > 1 else (None, 0)
-        if fronts > 1:
-            piece = cut(_ranked_block(found, costs, rank, fronts))
-        else:
-            piece = cut(_front_vectors(vectors, costs, block_rows).withColumn("front", F.lit(rank)))
-            m = piece.count()
-        pieces.append(piece)
-        vectors = cut(vectors.join(piece.select(*costs), list(costs), "left_anti"))
-        rank += fronts
-        # Candidates of the next round should fill half a block.
-        fronts = max(1, min(2 * fronts, fronts * block_rows // (2 * max(1, m))))
-    if n and n <= block_rows:
-        pieces.append(_ranked_block(vectors, costs, rank))
-    if not pieces:
-        return df.withColumn("front", F.when(~_comparable(costs), 0))
-    ranks, _ = settle(reduce(DataFrame.unionByName, pieces))
+    ranks, _ = settle(reduce(DataFrame.unionByName, _ranges(vectors, costs, block_rows, max_rank)))
     right = ranks.withColumnsRenamed({c: f"{c}__f" for c in costs})
     on = reduce(lambda a, b: a & b, [F.col(c).cast("double") == F.col(f"{c}__f") for c in costs])
     level = F.when(~_comparable(costs), 0).otherwise(F.col("front"))
-    if max_rank is not None:
-        level = F.when(level <= max_rank, level)
     return df.join(right, on, "left").select(*df.columns, level.cast("int").alias("front"))
 
 

@@ -125,3 +125,23 @@ def test_several_fronts_are_peeled_in_a_round(spark, monkeypatch):
     ranks = {r["id"]: r["front"] for r in sky.front_ranks(table(spark, costs), ["a", "b", "c"], block_rows=300).collect()}
     assert ranks == dict(enumerate(brute_ranks(costs)))
     assert not rounds
+
+
+@pytest.mark.parametrize("shape", ["smooth", "chain", "copies"])
+def test_ranks_of_small_blocks_take_few_steps(spark, monkeypatch, shape):
+    """Blocks far smaller than a front: the written steps follow the ranges, not the fronts."""
+    rng = np.random.default_rng(14)
+    costs = rng.random((300, 3)).round(2)
+    if shape == "chain":
+        costs = np.sort(costs, axis=0) + rng.integers(0, 2, (300, 3)) * 0.01
+    elif shape == "copies":
+        costs = rng.integers(-2, 3, (300, 3)).astype(float)
+        costs[:20, 1], costs[20:40, 0] = np.inf, -np.inf
+    steps, cut = [], sky.cut
+    monkeypatch.setattr(sky, "cut", lambda df: steps.append(1) or cut(df))
+    monkeypatch.setattr(sky, "RANGE_BLOCKS", 3)
+    want = brute_ranks(costs)
+    got = {r["id"]: r["front"] for r in sky.front_ranks(table(spark, costs), ["a", "b", "c"], block_rows=20).collect()}
+    assert got == dict(enumerate(want)) and len(steps) <= 2 + sky.RANGES
+    capped = {r["id"]: r["front"] for r in sky.front_ranks(table(spark, costs), ["a", "b", "c"], max_rank=2, block_rows=20).collect()}
+    assert capped == {i: (int(r) if r <= 2 else None) for i, r in enumerate(want)}
